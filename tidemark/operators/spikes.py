@@ -1,2 +1,337 @@
-def implausible_readings(trades, l2, instruments):
-    raise NotImplementedError
+"""Implausible readings: impossible values, spikes and stuck values, judged against each source's own behaviour.
+
+A source is one ticker of one recording in one feed. Its readings, in order of time,
+give four features each - level, difference, seasonal and run length - over which an
+isolation forest is fitted for that source; every reading is scored. Readings the
+forest finds easy to isolate are then held against explicit limits, which say why.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.functions.isolation import Forest
+from tidemark.operators.ordered import CHUNK, IDX, chunk_rows, new_run
+
+TRADE, L2 = 0, 1
+REASONS = ("physical", "spike", "stuck")
+
+
+@dataclass(frozen=True)
+class SpikeLimits:
+    """Parameters of the operator, in the units its features have.
+
+    reach: readings on either side whose median is a reading's normal level. side:
+    readings whose median is the level before, or after, a reading. spike: distance
+    beyond both those levels, in the source's usual distances (their 75 % quantile),
+    from which a price is a spike. size_ratio: multiple of the source's median size
+    from which a size is. stuck: readings in a row with one value from which a value
+    can be stuck at all; A depth level quoted twice at one
+    moment must be twice as far off, the first and last readings of a source a quarter
+    more. stuck_factor: how far beyond the longest run expected among
+    ``stuck_runs`` runs of this source. score: isolation score from which a reading is
+    looked at. moved: different values that the source's other streams, where it has any,
+    must show while one is stuck, since a market at rest repeats itself. trees, psi: size of a forest; psi points of the source are drawn for a
+    tree. segment: rows from which on a source is judged in segments of that many rows,
+    each against its own normal; margin: rows on either side that a segment sees beside its own.
+    """
+
+    reach: int = 10
+    side: int = 9
+    spike: float = 10.5
+    size_ratio: float = 38.0
+    stuck: int = 25
+    stuck_factor: float = 1.25
+    stuck_runs: int = 2000
+    moved: int = 7
+    score: float = 0.48
+    trees: int = 16
+    psi: int = 64
+    segment: int = 50_000
+    margin: int = 200
+    slot_us: int = 1_800_000_000
+
+
+def _medians(x: np.ndarray, width: int) -> np.ndarray:
+    """Median of each ``width`` (odd) values in a row."""
+    return np.partition(np.lib.stride_tricks.sliding_window_view(x, width), width // 2, axis=1)[:, width // 2]
+
+
+def _rolling_median(x: np.ndarray, reach: int) -> np.ndarray:
+    """Median of each value and ``reach`` values on either side; near the ends of fewer, but of as many on either side."""
+    n, width = len(x), 2 * reach + 1
+    out = np.empty(n)
+    if n > width:
+        out[reach:-reach] = _medians(x, width)
+        edge = [*range(reach), *range(n - reach, n)]
+    else:
+        edge = range(n)
+    for i in edge:
+        r = max(min(i, n - 1 - i, reach), min(3, n - 1))
+        low = min(max(0, i - r), max(0, n - 1 - 2 * r))
+        out[i] = np.median(x[low : low + 2 * r + 1])
+    return out
+
+
+def _beyond_sides(x: np.ndarray, width: int) -> np.ndarray:
+    """Signed distance of each value from the levels before and after it, 0 if it lies between them.
+
+    A level is the median of ``width`` values on that side, of fewer near the ends;
+    a side with under three values has no say. So the first values of a lasting
+    change lie at the level after them, while a short excursion lies off both.
+    """
+    n = len(x)
+    before, after = np.full(n, np.nan), np.full(n, np.nan)
+    if n > width:
+        med = _medians(x, width)
+        before[width:], after[: n - width] = med[:-1], med[1:]
+    for i in range(min(n, width)):
+        if i >= 3:
+            before[i] = np.median(x[:i])
+        j = n - 1 - i
+        if i >= 3:
+            after[j] = np.median(x[j + 1 :])
+    low, high = np.fmin(before, after), np.fmax(before, after)
+    low, high = np.where(np.isnan(low), x, low), np.where(np.isnan(high), x, high)
+    return np.where(x > high, x - high, np.where(x < low, x - low, 0.0))
+
+
+def _group_median(x: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """For each element, the median of ``x`` over its code."""
+    order = np.lexsort((x, code))
+    c = code[order]
+    start = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+    count = np.diff(np.append(start, len(c)))
+    xs = x[order]
+    mid = (xs[start + (count - 1) // 2] + xs[start + count // 2]) / 2
+    out = np.empty(len(x))
+    out[order] = np.repeat(mid, count)
+    return out
+
+
+def _runs(value: np.ndarray, t: np.ndarray, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each reading: the run of equal values it is in, that run's length, whether it is of the run's first row, and the longest run to expect of its stream. Rows recorded again count once."""
+    order = np.argsort(stream, kind="stable")
+    v, tt, s = value[order], t[order], stream[order]
+    new_stream = np.append(True, s[1:] != s[:-1])
+    turn = new_stream | np.append(True, v[1:] != v[:-1])
+    fresh = turn | np.append(True, tt[1:] != tt[:-1])
+    run = np.cumsum(turn) - 1
+    begin = np.flatnonzero(turn)
+    length = np.bincount(run, weights=fresh)
+    nth = np.cumsum(fresh)
+    out = [np.empty(len(v), dtype=np.int64), np.empty(len(v)), np.empty(len(v), dtype=bool), np.empty(len(v))]
+    for part, values in zip(out, (run, length[run], nth == nth[begin][run], _longest(length, s[begin])[run]), strict=True):
+        part[order] = values
+    return tuple(out)
+
+
+def _longest(length: np.ndarray, stream: np.ndarray, runs: int = SpikeLimits.stuck_runs) -> np.ndarray:
+    """For each run, the longest run to expect of its stream among ``runs``, were repeats independent.
+
+    The chance of a repeat comes from the mean run length, from which runs beyond
+    what it allows are taken out again, three times over.
+    """
+    out = np.empty(len(length))
+    for s in np.unique(stream):
+        mine = length[stream == s]
+        bound = np.inf
+        for _ in range(3):
+            kept = mine[mine <= max(bound, SpikeLimits.stuck)]
+            mean = max(kept.mean(), 1.0001) if len(kept) else 1.0001
+            bound = np.log(runs) / -np.log1p(-1 / mean)
+        out[stream == s] = bound
+    return out
+
+
+def _judge(value: np.ndarray, t: np.ndarray, stream: np.ndarray, place: np.ndarray, can_stick: np.ndarray, tick: float, is_size: bool, lim: SpikeLimits, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Reason (0 none, 1 physical, 2 spike, 3 stuck) and isolation score of the readings of one source in order of time."""
+    reason = np.zeros(len(value), dtype=np.int8)
+    score = np.ones(len(value), dtype=np.float32)
+    with np.errstate(all="ignore"):
+        good = np.isfinite(value) & (value > 0)
+    reason[~good] = 1
+    at = np.flatnonzero(good)
+    if not len(at):
+        return reason, score
+    v, t, stream, place, can_stick = value[at], t[at], stream[at], place[at], can_stick[at]
+    x = np.log(v)
+    center = np.median(x)
+    if is_size:
+        dev = x - center
+        scale = max(float(np.quantile(np.abs(dev), 0.75)), 0.3)
+        far = dev > np.log(lim.size_ratio)
+        jump = np.diff(dev, prepend=dev[0])
+    else:
+        floor = 0.7 * tick / np.exp(center) if tick > 0 else 1e-9
+        dev = x - _rolling_median(x, lim.reach)
+        offset = _group_median(dev, place)  # depth levels lie off the middle by a distance of their own
+        dev -= offset
+        jump = _beyond_sides(x - offset, lim.side)
+        scale = max(float(np.quantile(np.abs(dev), 0.75)), floor, 1e-9)
+        far = np.abs(jump) > lim.spike * scale
+    run, first, stuck = np.ones(len(v)), np.ones(len(v), dtype=bool), np.zeros(len(v), dtype=bool)
+    if is_size:
+        steady = can_stick & ~far
+    else:
+        twin = ~can_stick & _twins(v, t, place)
+        far &= ~twin | (np.abs(jump) > 2 * lim.spike * scale)
+        n = np.arange(len(v))
+        far &= (np.minimum(n, n[::-1]) >= lim.side) | (np.abs(jump) > 1.25 * lim.spike * scale)
+        steady = can_stick & ~(far & ~_calm(v, stream))
+    if steady.any():
+        at_steady = np.flatnonzero(steady)
+        which, run[steady], first[steady], bound = _runs(v[steady], t[steady], stream[steady])
+        long = run[steady] >= np.maximum(lim.stuck, lim.stuck_factor * bound)
+        for k in np.unique(which[long]):
+            mine = at_steady[which == k]
+            others = at_steady[(stream[at_steady] != stream[mine[0]]) & (t[at_steady] >= t[mine[0]]) & (t[at_steady] <= t[mine[-1]])]
+            if not len(others) or len(np.unique(v[others])) >= lim.moved:
+                stuck[mine] = True
+        stuck &= ~first
+    season = (t // lim.slot_us) % max(1, 86_400_000_000 // lim.slot_us)
+    off = np.abs(x - _group_median(x, season))
+    features = np.log1p(np.column_stack([np.abs(dev) / scale, np.abs(jump) / scale, off / (10 * scale), run - 1])).astype(np.float32)
+    forest = Forest(features[first], lim.trees, lim.psi, seed)  # a stuck value is no normal behaviour, however long it lasts
+    score[at] = forest.score(features)
+    easy = score[at] >= lim.score
+    reason[at[far & easy]] = 2
+    reason[at[stuck & easy]] = 3
+    return reason, score
+
+
+def _twins(v: np.ndarray, t: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Readings of one place at one moment that differ: the place was quoted twice."""
+    order = np.lexsort((v, t, place))
+    vs, ts, ps = v[order], t[order], place[order]
+    same = (ts[1:] == ts[:-1]) & (ps[1:] == ps[:-1])
+    group = np.cumsum(np.append(True, ~same)) - 1
+    begin = np.flatnonzero(np.append(True, ~same))
+    last = np.append(begin[1:], len(v)) - 1
+    out = np.empty(len(v), dtype=bool)
+    out[order] = (vs[begin] != vs[last])[group]
+    return out
+
+
+def _calm(v: np.ndarray, stream: np.ndarray) -> np.ndarray:
+    """Readings equal to the one before or after them in their stream."""
+    order = np.argsort(stream, kind="stable")
+    vs, s = v[order], stream[order]
+    same = (vs[1:] == vs[:-1]) & (s[1:] == s[:-1])
+    out = np.empty(len(v), dtype=bool)
+    out[order] = np.append(False, same) | np.append(same, False)
+    return out
+
+
+def _fill_times(t: np.ndarray, known: np.ndarray, seq: np.ndarray) -> np.ndarray:
+    """Times, where unknown that of the row before in order of arrival, or else of the row after."""
+    if known.all() or not known.any():
+        return np.where(known, t, 0)
+    order = np.argsort(seq, kind="stable")
+    at = np.maximum.accumulate(np.where(known[order], np.arange(len(t)), -1))
+    at = np.where(at < 0, np.flatnonzero(known[order])[0], at)
+    out = np.empty_like(t)
+    out[order] = t[order][at]
+    return out
+
+
+def _source(table: pa.Table, lim: SpikeLimits) -> list[tuple]:
+    """Marked readings of one source, or segment of one: (row, field, reason, score)."""
+    col = {n: table.column(n).combine_chunks() for n in table.schema.names}
+    feed, ticker = col["feed"][0].as_py(), col["ticker_id"][0].as_py()
+    known = np.asarray(col["t"].is_valid())
+    seq = np.asarray(col["seq"].fill_null(0))
+    t = _fill_times(np.asarray(col["t"].fill_null(0)), known, seq)
+    own = np.asarray(col["__tm_own"])
+    kind, side = np.asarray(col["kind"].fill_null(-1)), np.asarray(col["side"].fill_null(-1))
+    place = (kind.astype(np.int64) * 8 + side) * 100_000 + np.asarray(col["position"].fill_null(-1))
+    order = np.lexsort((seq, t))
+    tick = col["tick_size"][0].as_py() or 0.0
+    out = []
+    for field in ("price", "size") if feed == TRADE else ("price",):
+        read = np.asarray(col[field].is_valid())[order]
+        at = order[read]
+        if not len(at):
+            continue
+        values = np.asarray(col[field].fill_null(0.0)).astype(float)[at]
+        if feed == TRADE:
+            stream = spot = np.zeros(len(at), dtype=np.int64)
+            can = np.ones(len(at), dtype=bool)
+        else:
+            spot, can = place[at], kind[at] == 1
+            stream = np.where(can, side[at], 9)
+        reason, score = _judge(values, t[at], stream, spot, can, tick, field == "size", lim, (ticker or 0) % 2**31)
+        for i in np.flatnonzero((reason > 0) & own[at]):
+            out.append((at[i], field, REASONS[reason[i] - 1], float(score[i])))
+    return out
+
+
+def _mark(lim: SpikeLimits):
+    keys = ["feed", "recording_id", "ticker_id", CHUNK]
+    schema = pa.schema([("feed", pa.string()), ("recording_id", pa.int64()), ("ticker_id", pa.int64()), ("seq", pa.int64()), ("field", pa.string()), ("reason", pa.string()), ("score", pa.float64())])
+
+    def judged(table: pa.Table):
+        rows = _source(table, lim)
+        if rows:
+            at = pa.array([r[0] for r in rows])
+            feed = "trade" if table.column("feed")[0].as_py() == TRADE else "l2"
+            cols = [pa.array([feed] * len(rows)), *(table.column(c).take(at).cast(pa.int64()) for c in ("recording_id", "ticker_id", "seq")), *(pa.array([r[k] for r in rows]) for k in (1, 2, 3))]
+            yield from pa.table(cols, schema=schema).to_batches()
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*held, batch])
+            starts = np.flatnonzero(new_run([table.column(k) for k in keys]))
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                yield from judged(table.slice(a, b - a))
+            held = table.slice(starts[-1]).to_batches()
+        if held:
+            yield from judged(pa.Table.from_batches(held))
+
+    return run
+
+
+def implausible_readings(trades: DataFrame, l2: DataFrame, instruments: DataFrame, limits: SpikeLimits | None = None) -> DataFrame:
+    """Implausible readings of trades.price, trades.size and l2.price: a row each, with ``reason`` and isolation ``score``.
+
+    Result: ``feed`` ('trade' or 'l2'), ``recording_id``, ``ticker_id``, ``seq``, ``field``
+    ('price' or 'size'), ``reason`` and ``score``. Reasons: 'physical' (not finite, or not
+    above zero; score 1), 'spike' (a price far beyond the levels before and after it; a
+    size beyond what the ticker trades), 'stuck' (one value for far longer than the
+    source ever repeats one: the rows after the first). Repeated rows each get their mark.
+
+    Nulls, and prices of deletes (operation 2), are no readings. A row without a time
+    is placed behind the row that arrived before it. Rows without a recording or ticker
+    form sources of their own. An empty table gives no marks. Instruments give the tick,
+    a lower bound for usual distances; an unknown ticker has none. Other columns are
+    ignored.
+
+    Every source is cut into segments of equal size with a margin (``chunk_rows``), so
+    a ticker with a third of all rows is many segments; each is judged whole in one task.
+    """
+    lim = limits or SpikeLimits()
+    none = F.lit(None)
+    cols = ["feed", "recording_id", "ticker_id", "t", "seq", "price", "size", "kind", "side", "position"]
+    a = trades.select(
+        F.lit(TRADE).alias("feed"), "recording_id", "ticker_id", F.col("timestamp_us").alias("t"), "seq", "price", "size",
+        F.lit(3).alias("kind"), none.cast("int").alias("side"), none.cast("int").alias("position"),
+    ).where("price IS NOT NULL OR size IS NOT NULL")
+    b = l2.where("price IS NOT NULL AND NOT coalesce(operation = 2, false)").select(
+        F.lit(L2).alias("feed"), "recording_id", "ticker_id", F.col("timestamp").alias("t"), "seq", "price",
+        none.cast("double").alias("size"), "kind", "side", "position",
+    )
+    readings = a.select(cols).unionByName(b.select(cols))
+    source = ["feed", "recording_id", "ticker_id"]
+    pieces = chunk_rows(readings, source, ["t", "seq"], lim.segment, lim.margin)
+    ticks = instruments.where("ticker_id IS NOT NULL").groupBy("ticker_id").agg(F.max("tick_size").alias("tick_size"))
+    pieces = pieces.join(ticks, "ticker_id", "left").withColumn("__tm_own", F.floor(F.col(IDX) / F.lit(lim.segment)) == F.col(CHUNK))
+    tasks = pieces.select(*cols, "tick_size", "__tm_own", CHUNK, IDX).repartition(*source, CHUNK).sortWithinPartitions(*source, CHUNK, IDX)
+    return tasks.mapInArrow(_mark(lim), "feed string, recording_id long, ticker_id long, seq long, field string, reason string, score double")
