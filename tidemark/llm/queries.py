@@ -1 +1,24 @@
-QUERIES, ORACLES = {}, {}
+"""Queries of the text operators (p6 to p8)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm.packing import pack_documents
+from tidemark.sources.tables import table
+
+
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    return pack_documents(table(spark, d, "documents"))
+
+
+def p6_room(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, tokens and the share of room left unused."""
+    packed = pack_documents(table(spark, d, "documents"))
+    total = packed.agg(F.countDistinct("container").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
+    return total.withColumn("unused_share", 1 - F.col("n_tokens") / (F.col("n_containers") * 2048))
+
+
+QUERIES = {f.__name__: f for f in (p6_pack, p6_room)}
+ORACLES: dict[str, str] = {}
