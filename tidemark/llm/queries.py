@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.leakage import leaked_passages
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.truncation import truncated_texts, truncation_report
 from tidemark.sources.tables import table
 
 
@@ -20,5 +22,23 @@ def p6_room(spark: SparkSession, d: str) -> DataFrame:
     return total.withColumn("unused_share", 1 - F.col("n_tokens") / (F.col("n_containers") * 2048))
 
 
-QUERIES = {f.__name__: f for f in (p6_pack, p6_room)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which test items leaked: documents that show each, most words running, and the best coverage by tiles."""
+    leaks = leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaks.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("words_running").alias("words_running"), F.round(F.max("coverage"), 6).alias("coverage"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncated_texts(table(spark, d, "documents"))
+
+
+def p8_sources(spark: SparkSession, d: str) -> DataFrame:
+    return truncation_report(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p6_pack, p6_room, p7_found, p7_items, p8_found, p8_sources)}
 ORACLES: dict[str, str] = {}
