@@ -7,6 +7,7 @@ import re
 import unicodedata
 
 _WORD = re.compile(r"[^\W_]+")
+_UNSEEN = re.compile("[" + "".join(re.escape(c) for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c) in ("Mn", "Cf")) + "]+")
 #: Signs of a text decoded with the wrong charset.
 _GARBLED = re.compile("[�\x80-\x9fÂÃÐÑ]|[РС][Ѐ-џ°-¿‚-›Ђ-џ]|[─-╬]|[À-ÿ]{4}")
 _CYRILLIC = re.compile("[а-яё]")
@@ -20,7 +21,7 @@ def plain(text: str) -> list[str]:
     if "&" in text:
         text = html.unescape(html.unescape(text))
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) not in ("Mn", "Cf"))
+        text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text))
     return _WORD.findall(text.casefold())
 
 
