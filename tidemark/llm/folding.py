@@ -7,7 +7,8 @@ import re
 import unicodedata
 
 _WORD = re.compile(r"[^\W_]+")
-_UNSEEN = re.compile("[" + "".join(re.escape(c) for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c) in ("Mn", "Cf")) + "]+")
+#: The Unicode blocks of combining marks, and the invisible format characters.
+_UNSEEN = re.compile("[\u00ad\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u061c\u064b-\u065f\u180e\u1ab0-\u1aff\u1dc0-\u1dff\u200b-\u200f\u202a-\u202e\u2060-\u206f\u20d0-\u20ff\u3099\u309a\ufe00-\ufe0f\ufe20-\ufe2f\ufeff]+")
 #: Signs of a text decoded with the wrong charset.
 _GARBLED = re.compile("[�\x80-\x9fÂÃÐÑ]|[РС][Ѐ-џ°-¿‚-›Ђ-џ]|[─-╬]|[À-ÿ]{4}")
 _CYRILLIC = re.compile("[а-яё]")
