@@ -84,16 +84,18 @@ def prefix_max(parts: DataFrame, value: str, out: str, reverse: bool = False) ->
 
 
 def nearest_by_time(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, left_id: str, right_time: str, right_id: str, tolerance: int,
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, left_id: str, right_time: str, right_id: str, tolerance: int | None = None, direction: str = "nearest",
 ) -> DataFrame:
-    """For each left row, the right row of the same keys that is nearest in time, at most ``tolerance`` away.
+    """For each left row, the right row of the same keys that is nearest in time, at most ``tolerance`` away (None: however far).
 
-    Times and ids are BIGINT. Of equally near right rows the earlier counts, of those
-    at one time the one with the smallest id. Result: keys, ``left_id``,
-    ``right_id`` and ``distance`` (right minus left), a row for each left row that
-    has a partner, repeats included; ids need not be unique. Other columns of the
-    inputs are ignored, whatever their names. Rows with a null in a key, a time or an
-    id have no partner. Empty inputs give no rows.
+    ``direction`` 'nearest' looks both ways, 'backward' takes the last right row at or
+    before the left row's time, 'forward' the first at or after it. Times and ids are
+    BIGINT. Of equally near right rows the earlier counts, of those at one time the
+    one with the smallest id. Result: keys, ``left_id``, ``right_id`` and ``distance``
+    (right minus left), a row for each left row that has a partner, repeats included;
+    ids need not be unique. Other columns of the inputs are ignored, whatever their
+    names. Rows with a null in a key, a time or an id have no partner. Empty inputs
+    give no rows.
 
     Both tables are range-partitioned together by (keys, time) with a final sort on
     the id, so a key may span any number of partitions, even one moment may. Each
@@ -101,8 +103,8 @@ def nearest_by_time(
     right row before it and the first after it, which a prefix scan over one row per
     partition provides. Only left rows leave the scan.
     """
-    spark = left.sparkSession
-
+    if direction not in ("nearest", "backward", "forward"):
+        raise ValueError(f"no such direction: {direction}")
     def side(df: DataFrame, time: str, ident: str, tag: int) -> DataFrame:
         cols = [F.col(k).alias(f"__tm_k{i}") for i, k in enumerate(keys)]
         cols += [F.col(time).cast("long").alias(T_), F.col(ident).cast("long").alias(ID), F.lit(tag).alias(TAG)]
@@ -126,7 +128,13 @@ def nearest_by_time(
     rows = scanned.where(F.col(TAG) == LEFT).join(F.broadcast(parts), PID, "left")
 
     def candidate(t: Column, ident: Column, valid: Column) -> Column:
-        return F.when(valid & (F.abs(t - F.col(T_)) <= tolerance), F.struct(F.abs(t - F.col(T_)).alias("d"), t.alias("t"), ident.alias("id")))
+        if tolerance is not None:
+            valid = valid & (F.abs(t - F.col(T_)) <= tolerance)
+        if direction == "backward":
+            valid = valid & (t <= F.col(T_))
+        elif direction == "forward":
+            valid = valid & (t >= F.col(T_))
+        return F.when(valid, F.struct(F.abs(t - F.col(T_)).alias("d"), t.alias("t"), ident.alias("id")))
 
     near = F.array_min(
         F.array(
