@@ -205,7 +205,7 @@ def words_running(item: str, text: str, words: list[str], starts: np.ndarray, ti
     for y, (a, b, n) in enumerate(tiles):
         for x in range(y):
             a0, b0, n0 = tiles[x]
-            if a0 + n0 <= a and b0 + n0 <= b and b - b0 - n0 <= 2 * (a - a0 - n0) + 40 and best[x] + n > best[y]:
+            if a0 + n0 <= a and b0 + n0 <= b and b - b0 - n0 <= 1.5 * (a - a0 - n0) + 24 and best[x] + n > best[y]:
                 best[y], back[y] = best[x] + n, x
     y = int(np.argmax(best))
     chain = []

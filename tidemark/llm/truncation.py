@@ -178,7 +178,7 @@ def _describe(model, language_of=language):
                 marked = _MARK.search(text)
                 body = (text[: marked.start()] if marked else text).rstrip("�")
                 closed = not marked and bool(_CLOSED.search(text))
-                last = body.rsplit("\n", 1)[-1]
+                last = body.rstrip().rsplit("\n", 1)[-1]
                 inner = [m.start() for m in re.finditer(r"[.!?。](?=[\s]|[^\x00-\x7f])", text[:-1])]
                 middle = len(text) // 2
                 out["lang"].append(lang)
@@ -243,7 +243,7 @@ def describe_ends(documents: DataFrame, ident: str = "doc_id", source: str = "so
     schema = f"__tm_id {kind}, source string, lang string, closed boolean, marked boolean, odds double, odds_end double, odds_mid double, raw_says string, opener string, n_words long, last_chars long, any_closed boolean, n_chars long, n_bytes long"
     rows = written(slim.mapInArrow(_describe(model), schema), "ends")
 
-    lines = documents.where(has).select(F.split(text, "\n").alias("l")).select(F.explode(F.slice(F.col("l"), 1, F.greatest(F.size("l") - 1, F.lit(0)))).alias("line"))
+    lines = documents.where(has).select(F.split(text, "\n").alias("l")).select(F.explode("l").alias("line")).where("line <> ''")
     opener = F.lower(F.substring(F.substring_index("line", " ", 1), 1, 8))
     kinds = lines.groupBy(opener.alias("o")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("line").rlike("[.!?。][\"”»]?$").cast("double")).alias("closed_share"))
     plates = kinds.where("n >= 8 AND closed_share < 0.25").select(F.col("o"), F.lit(True).alias("plate"))
