@@ -55,3 +55,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Tables under this many bytes are dealt out to all cores before heavy work on single rows.
+SMALL_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, if it is small.
+
+    A small table is often one file of one row group, hence one task, however many
+    cores are idle. A table above ``SMALL_BYTES`` is left as its files divide it, so that
+    nothing large is shuffled for this.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
