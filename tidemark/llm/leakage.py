@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.folding import forms, plain, skeleton
+from tidemark.session import spread
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TABLE_BITS = 22
@@ -263,7 +264,7 @@ def leaked_passages(
     stated = items.select(F.col(item_id).alias("i"), F.col(passage).alias("p")).where("p IS NOT NULL")
     blocks = max(1, -(-stated.count() // lim.block))
     doc_kind, item_kind = (df.schema[c].dataType.simpleString() for df, c in ((documents, doc_id), (items, item_id)))
-    docs = documents.select(F.col(doc_id).alias("__tm_doc"), F.col(text).alias("__tm_text")).where("__tm_text IS NOT NULL")
+    docs = spread(documents.select(F.col(doc_id).alias("__tm_doc"), F.col(text).alias("__tm_text")).where("__tm_text IS NOT NULL"))
     out = None
     for b in range(blocks):
         rows = stated.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()
