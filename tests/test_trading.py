@@ -206,3 +206,21 @@ def test_empty_inputs(spark):
     assert trade_table(none.withColumn("signal", F.lit(1.0)), S).count() == 0
     assert permute.permute_bars(none, S, 2).count() == 0
     assert live_bars(trades(spark, []), ["ticker"], "timestamp_us", "seq", "price", "size").count() == 0
+
+
+def test_holdout_and_dispatch(spark):
+    from tidemark.operators.validate import analyse, hybrid_walk_forward, split_holdout
+
+    n = 200
+    pdf = bars(n, 5).assign(ts=pd.date_range("2024-01-01", periods=n, freq="D"))
+    df = spark.createDataFrame(pdf)
+    split = split_holdout(df, S, 2).toPandas()
+    assert split[split.is_holdout].ts.min() == pdf.ts.max() - pd.DateOffset(months=2)
+    st = Strategy("d", strategy.donchian, {"lookback": (5, 9)}, holds=True)
+    r = hybrid_walk_forward(df, S, st, 60, 20, 2).collect()[0]
+    frozen = with_strategy_returns(st.apply(split_holdout(df, S, 2), S, lookback=(5, 9)[r.param_id]), S).where("is_holdout").agg(F.sum("strategy_ret")).first()[0]
+    assert r.holdout_return == pytest.approx(frozen) and r.verdict in ("severe", "moderate", "slight", "better")
+    assert set(analyse(df, S, st, "walkforward", lookback=60, step=20)) == {"walkforward", "choices"}
+    assert analyse(df, S, REGISTRY.get("momentum"), "metrics", end="2024-02-01")["metrics"].count() == 1
+    with pytest.raises(ValueError):
+        analyse(df, S, st, "other")

@@ -13,6 +13,7 @@ from tidemark.operators.joins import asof_backward, asof_forward, matching_contr
 from tidemark.operators.labeling import triple_barrier
 from tidemark.operators.live_bars import last_trade_pairs, live_bars
 from tidemark.operators.trades import performance, trade_table
+from tidemark.operators.validate import hybrid_walk_forward
 from tidemark.operators.windows import Series, in_segments
 from tidemark.sources import wire
 from tidemark.sources.tables import table
@@ -544,3 +545,13 @@ def hourly_bars(spark: SparkSession, d: str) -> DataFrame:
     h = t.groupBy("ticker_id", "hour_us").agg(F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "seq").alias("close"), F.count(F.lit(1)).alias("n_trades"))
     before = F.lag("close").over(Window.partitionBy("ticker_id").orderBy("hour_us"))
     return h.withColumn("ret", F.when(before > 0, F.round(F.col("close") / before - 1, 6)))
+
+
+@query()
+def holdout_check(spark: SparkSession, d: str) -> DataFrame:
+    """Walk-forward choices frozen on a holdout: here the second half of each symbol's bars, dated a month after the first."""
+    half = F.row_number().over(S.all()) * 2 > F.count(F.lit(1)).over(Window.partitionBy("symbol"))
+    dated = bars(spark, d).withColumn("later", half)
+    dated = dated.withColumn("ts", F.when(F.col("later"), F.expr("ts + make_dt_interval(40)")).otherwise(F.col("ts"))).drop("later")
+    out = hybrid_walk_forward(dated, S, _GRID, 60, 20, 1)
+    return _rounded(out, [], 6)
