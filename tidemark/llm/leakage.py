@@ -23,8 +23,8 @@ class LeakLimits:
     seed: tokens of a seed. seeds: shared seeds, close together, that make a pair worth
     tiling: text of ``min_words`` words with one in eight changed has more. tile:
     shortest tile. min_words: words running that make a leak. miss: of so many of them one
-    may be changed or dropped. block: items that are looked for at once, a bound
-    on what is broadcast.
+    may be changed or dropped. block, block_chars: items, and characters of them, that are
+    looked for at once, about: a bound on what is broadcast.
     """
 
     seed: int = 20
@@ -34,6 +34,7 @@ class LeakLimits:
     miss: int = 8
     gap: int = 250
     block: int = 4000
+    block_chars: int = 8_000_000
 
 
 def _codes(s: str) -> np.ndarray:
@@ -262,7 +263,8 @@ def leaked_passages(
     lim = limits or LeakLimits()
     spark = documents.sparkSession
     stated = items.select(F.col(item_id).alias("i"), F.col(passage).alias("p")).where("p IS NOT NULL")
-    blocks = max(1, -(-stated.count() // lim.block))
+    n, chars = stated.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("p")), F.lit(0))).first()
+    blocks = max(1, -(-n // lim.block), -(-chars // lim.block_chars))
     doc_kind, item_kind = (df.schema[c].dataType.simpleString() for df, c in ((documents, doc_id), (items, item_id)))
     docs = spread(documents.select(F.col(doc_id).alias("__tm_doc"), F.col(text).alias("__tm_text")).where("__tm_text IS NOT NULL"))
     out = None
