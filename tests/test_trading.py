@@ -220,7 +220,10 @@ def test_holdout_and_dispatch(spark):
     r = hybrid_walk_forward(df, S, st, 60, 20, 2).collect()[0]
     frozen = with_strategy_returns(st.apply(split_holdout(df, S, 2), S, lookback=(5, 9)[r.param_id]), S).where("is_holdout").agg(F.sum("strategy_ret")).first()[0]
     assert r.holdout_return == pytest.approx(frozen) and r.verdict in ("severe", "moderate", "slight", "better")
-    assert set(analyse(df, S, st, "walkforward", lookback=60, step=20)) == {"walkforward", "choices"}
+    kinds = analyse(df, S, st, "walkforward", permutations=4, lookback=60, step=20)
+    assert set(kinds) == {"walkforward", "choices", "walkforward_test"}
+    t = kinds["walkforward_test"].first()
+    assert t.p_value == (1 + t.n_at_least) / 4 and 0 <= t.n_at_least <= 3
     assert analyse(df, S, REGISTRY.get("momentum"), "metrics", end="2024-02-01")["metrics"].count() == 1
     with pytest.raises(ValueError):
         analyse(df, S, st, "other")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.permute import permutation_test
+from tidemark.operators.permute import PERM, permutation_test, permute_bars
 from tidemark.operators.strategy import Strategy, modal_parameters, walk_forward, with_strategy_returns
 from tidemark.operators.trades import performance
 from tidemark.operators.windows import Series
@@ -46,6 +46,22 @@ def hybrid_walk_forward(bars: DataFrame, s: Series, strategy: Strategy, lookback
     return both.withColumn("degradation_pct", drop).withColumn("verdict", verdict).drop("__tm_dn", "__tm_hn")
 
 
+def walk_forward_test(bars: DataFrame, s: Series, strategy: Strategy, n: int, lookback: int, step: int) -> DataFrame:
+    """Permutation test of the whole walk-forward, its choices included: keys, ``real_return``, ``n_at_least``, ``p_value``.
+
+    Each of the ``n - 1`` permuted series is walked like the real one, as one more key; the
+    first training window is permuted too, and there are no costs.
+    """
+
+    def total(df: DataFrame, own: Series) -> DataFrame:
+        return with_strategy_returns(walk_forward(df, own, strategy, lookback, step)[0], own).groupBy(*own.keys).agg(F.sum("strategy_ret").alias("total"))
+
+    real = total(bars, s).withColumnRenamed("total", "real_return")
+    permuted = total(permute_bars(bars, s, n - 1), Series([PERM, *s.keys], s.order))
+    met = permuted.join(real, s.keys).groupBy(*s.keys, "real_return").agg(F.count_if(F.col("total") >= F.col("real_return")).alias("n_at_least"))
+    return met.withColumn("p_value", (1 + F.col("n_at_least")) / F.lit(float(n)))
+
+
 def analyse(bars: DataFrame, s: Series, strategy: Strategy, what: str = "metrics", permutations: int = 100, lookback: int = 250, step: int = 50, start=None, end=None, **params) -> dict[str, DataFrame]:
     """'metrics', 'insample', 'walkforward' or 'both' for the bars of [start, end): frames by name. Unknown kinds raise."""
     if what not in ("metrics", "insample", "walkforward", "both"):
@@ -64,4 +80,5 @@ def analyse(bars: DataFrame, s: Series, strategy: Strategy, what: str = "metrics
         signal, choices = walk_forward(bars, s, strategy, lookback, step)
         out["walkforward"] = performance(signal.drop("win_id"), s)
         out["choices"] = choices
+        out["walkforward_test"] = walk_forward_test(bars, s, strategy, permutations, lookback, step)
     return out
