@@ -74,6 +74,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
 
 
+def task_count(spark: SparkSession) -> int:
+    """Partitions for work that costs far more than its bytes, so that it is not packed into few tasks by size."""
+    return max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 _SHIPPED: set[str] = set()
 
 
