@@ -33,6 +33,7 @@ class Forest:
         points = x[draw].reshape(trees * psi, width)
         tree = np.repeat(np.arange(trees), psi)
         last = 1 << self.depth
+        expected = mean_path(np.arange(psi + 1))
         self.feature = np.zeros((trees, last), dtype=np.int64)
         self.cut = np.full((trees, last), np.inf, dtype=x.dtype)
         self.path = np.zeros((trees, last))
@@ -44,18 +45,20 @@ class Forest:
             cell = tree * nodes + node
             size = np.bincount(cell, minlength=trees * nodes).reshape(trees, nodes)
             order = np.argsort(cell, kind="stable")
-            filled, at = np.unique(cell[order], return_index=True)
+            filled = np.flatnonzero(size.ravel())
+            at = np.cumsum(size.ravel()[filled]) - size.ravel()[filled]
+            sorted_points = points[order]
             low = np.zeros((trees * nodes, width), dtype=x.dtype)
             high = np.zeros_like(low)
-            low[filled] = np.minimum.reduceat(points[order], at, axis=0)
-            high[filled] = np.maximum.reduceat(points[order], at, axis=0)
+            low[filled] = np.minimum.reduceat(sorted_points, at, axis=0)
+            high[filled] = np.maximum.reduceat(sorted_points, at, axis=0)
             lottery = rng.random(low.shape) * (high > low)
             pick = np.argmax(lottery, axis=1)
             rows = np.arange(len(pick))
             varies = high[rows, pick] > low[rows, pick]
             cut = low[rows, pick] + rng.random(len(pick)).astype(x.dtype) * (high[rows, pick] - low[rows, pick])
             stop = ~varies.reshape(trees, nodes)
-            ended = np.where((ended < 0) & stop, level + mean_path(size), ended)
+            ended = np.where((ended < 0) & stop, level + expected[size], ended)
             self.feature[:, begin : begin + nodes] = pick.reshape(trees, nodes)
             self.cut[:, begin : begin + nodes] = np.where(stop, np.inf, cut.reshape(trees, nodes))
             side = points[np.arange(len(points)), pick[cell]] > np.where(varies, cut, np.inf)[cell]
@@ -63,7 +66,7 @@ class Forest:
             ended = np.repeat(ended, 2, axis=1)
             begin += nodes
         size = np.bincount(tree * last + node, minlength=trees * last).reshape(trees, last)
-        self.path = np.where(ended >= 0, ended, self.depth + mean_path(size)).astype(np.float32)
+        self.path = np.where(ended >= 0, ended, self.depth + expected[size]).astype(np.float32)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Anomaly score of each row, in (0, 1); about 0.5 for ordinary rows, more for those that are isolated early."""

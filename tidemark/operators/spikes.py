@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.isolation import Forest
 from tidemark.operators.ordered import CHUNK, IDX, chunk_rows, new_run
+from tidemark.session import task_count
 
 TRADE, L2 = 0, 1
 REASONS = ("physical", "spike", "stuck")
@@ -62,6 +63,12 @@ def _medians(x: np.ndarray, width: int) -> np.ndarray:
     return np.partition(np.lib.stride_tricks.sliding_window_view(x, width), width // 2, axis=1)[:, width // 2]
 
 
+def _middle(x: np.ndarray) -> float:
+    """Median of a few values, without the overhead of a general one."""
+    x = np.sort(x)
+    return (x[(len(x) - 1) // 2] + x[len(x) // 2]) / 2
+
+
 def _rolling_median(x: np.ndarray, reach: int) -> np.ndarray:
     """Median of each value and ``reach`` values on either side; near the ends of fewer, but of as many on either side."""
     n, width = len(x), 2 * reach + 1
@@ -74,7 +81,7 @@ def _rolling_median(x: np.ndarray, reach: int) -> np.ndarray:
     for i in edge:
         r = max(min(i, n - 1 - i, reach), min(3, n - 1))
         low = min(max(0, i - r), max(0, n - 1 - 2 * r))
-        out[i] = np.median(x[low : low + 2 * r + 1])
+        out[i] = _middle(x[low : low + 2 * r + 1])
     return out
 
 
@@ -92,10 +99,10 @@ def _beyond_sides(x: np.ndarray, width: int) -> np.ndarray:
         before[width:], after[: n - width] = med[:-1], med[1:]
     for i in range(min(n, width)):
         if i >= 3:
-            before[i] = np.median(x[:i])
+            before[i] = _middle(x[:i])
         j = n - 1 - i
         if i >= 3:
-            after[j] = np.median(x[j + 1 :])
+            after[j] = _middle(x[j + 1 :])
     low, high = np.fmin(before, after), np.fmax(before, after)
     low, high = np.where(np.isnan(low), x, low), np.where(np.isnan(high), x, high)
     return np.where(x > high, x - high, np.where(x < low, x - low, 0.0))
@@ -333,5 +340,5 @@ def implausible_readings(trades: DataFrame, l2: DataFrame, instruments: DataFram
     pieces = chunk_rows(readings, source, ["t", "seq"], lim.segment, lim.margin)
     ticks = instruments.where("ticker_id IS NOT NULL").groupBy("ticker_id").agg(F.max("tick_size").alias("tick_size"))
     pieces = pieces.join(ticks, "ticker_id", "left").withColumn("__tm_own", F.floor(F.col(IDX) / F.lit(lim.segment)) == F.col(CHUNK))
-    tasks = pieces.select(*cols, "tick_size", "__tm_own", CHUNK, IDX).repartition(*source, CHUNK).sortWithinPartitions(*source, CHUNK, IDX)
+    tasks = pieces.select(*cols, "tick_size", "__tm_own", CHUNK, IDX).repartition(task_count(trades.sparkSession), *source, CHUNK).sortWithinPartitions(*source, CHUNK, IDX)
     return tasks.mapInArrow(_mark(lim), "feed string, recording_id long, ticker_id long, seq long, field string, reason string, score double")
