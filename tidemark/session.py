@@ -59,19 +59,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Tables under this many bytes are dealt out to all cores before heavy work on single rows.
+#: Tables under this many bytes, by the planner's estimate, are dealt out to all cores before heavy work on single rows.
 SMALL_BYTES = 32 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in at least as many partitions as there are cores, if it is small.
+    """``df`` in as many partitions as there are cores, if it is small and lies in fewer files than that.
 
     A small table is often one file of one row group, hence one task, however many
-    cores are idle. A table above ``SMALL_BYTES`` is left as its files divide it, so that
-    nothing large is shuffled for this.
+    cores are idle. A table above ``SMALL_BYTES``, or of enough files, is left as its files
+    divide it, so that nothing large is shuffled for this.
     """
+    cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
+    return df.repartition(cores) if size < SMALL_BYTES and len(df.inputFiles()) < cores else df
 
 
 def task_count(spark: SparkSession) -> int:
