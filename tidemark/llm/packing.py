@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import new_run
-from tidemark.session import spread, written
+from tidemark.session import spread, task_count, written
 
 #: Tokens a lane is meant to hold: windows are filled lane by lane, each lane in one task.
 LANE_TOKENS = 4_000_000
@@ -126,7 +126,7 @@ def _turn(items: DataFrame, capacity: int, turn: int, lane_tokens: int) -> DataF
     lanes = max(1, -(-int(total) // lane_tokens))
     kind = items.schema["__tm_id"].dataType.simpleString()
     dealt = items.withColumn("lane", F.pmod(F.xxhash64("__tm_id", "piece", F.lit(turn)), F.lit(lanes)))
-    tasks = dealt.repartition("lane").sortWithinPartitions("lane", "__tm_id", "piece", "n_tokens")
+    tasks = dealt.repartition(min(lanes, max(task_count(items.sparkSession), lanes // 64)), "lane").sortWithinPartitions("lane", "__tm_id", "piece", "n_tokens")
     schema = f"__tm_id {kind}, piece int, start_token long, n_tokens long, container long, position long, filled long"
     return written(tasks.mapInArrow(_pack(capacity, turn), schema), "packed")
 
