@@ -82,3 +82,24 @@ def test_model_tells_ends_from_middles(spark):
     model = EndModel.fit(spark.createDataFrame(rows, SCHEMA), "text")
     assert model.log_odds("en", "and nobody sold the old lantern") > model.log_odds("en", "and nobody sold the old lant")
     assert model.log_odds("en", "was painted by the") < 0 and model.log_odds("zz", "abc") == 0.0
+
+
+def test_lines_not_first_words_are_plates(spark):
+    r = random.Random(5)
+    rows, cut = [], set()
+    for i in range(160):
+        # headings make 'Solnick' a word whose lines do not end in a full stop
+        body = f"Solnick {r.choice(NOUNS)} {i}\n" + article(r)
+        text, page = body, None
+        if i % 10 == 0:
+            text = f"{body}\nSolnick {sentence(r)[:-9]}"
+            cut.add(i)
+        elif i % 10 == 5:
+            text = f"{body}\nSolnick has stree"
+            page = f"<p>{body}</p><p>{text.splitlines()[-1]}ts and gates.</p>".encode()
+            cut.add(i)
+        elif i % 10 < 5:
+            text = f"{body}\nContinue reading …" + ("\nHome" if i % 2 else "")
+        rows.append((i, f"s{i % 3}", text, page, None, None))
+    got = {x.doc_id for x in truncated_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert cut <= got and not {i for i in got if i % 10 in (2, 4)}

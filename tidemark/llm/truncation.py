@@ -6,6 +6,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,9 @@ _KANA, _CYRILLIC = re.compile("[぀-ヿ]"), re.compile("[Ѐ-ӿ]")
 _UPPER = re.compile("[А-ЯЁ]")
 _MARK = re.compile(r"\s*(?:\[\s*(?:\.{3}|…)\s*\]|…|\.{3})\s*$")
 _CLOSED = re.compile(r"(?:[.!?。！？](?:[\"”»’'」』)\]]|&quot;|&#x27;)*|[.!?][\"”»]?\s?[»”\"])\s*$")
+_DIGIT = re.compile(r"\d")
+#: Longest line that can be a plate by its first word, and by being repeated whole; least texts, and share of its language's texts, that show a repeated line; log-odds of a plate's first word.
+PLATE_CHARS, REPEATED_CHARS, REPEATED_TEXTS, REPEATED_SHARE, PLATE_ODDS = 60, 120, 3, 0.0005, 6.0
 _ENDERS = np.array([ord(c) for c in ".!?。"], dtype=np.uint64)
 
 
@@ -166,11 +170,48 @@ def _opener(line: str) -> str:
     return line.split(" ", 1)[0][:8].lower()
 
 
+def _digest(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def _fold(line: str) -> int | None:
+    """Of a line that can be a repeated one, its digest, whatever its digits."""
+    return _digest(_DIGIT.sub("#", line)) if len(line) <= REPEATED_CHARS else None
+
+
+_LINES = pa.list_(pa.struct([("opener", pa.string()), ("fold", pa.int64()), ("closed", pa.bool_())]))
+
+
+def _with_plates(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``repeated``, whether the last line stands whole in other texts, and ``plate``, whether it is short and its first word opens lines that do not end in a full stop.
+
+    Lines are counted by language, over distinct texts, and without the last line of each,
+    which may itself be cut; as repeated, last lines count once for each line before
+    them, since copies of one page may be cut at one place. Of a first word, the upper 95 % bound of the share of closed
+    lines decides, so that few lines do not.
+    """
+    texts = rows.select("text_hash", "lang", "fold", "before", "lines").dropDuplicates(["text_hash"])
+    lines = texts.select("text_hash", "lang", F.explode("lines").alias("l")).select("text_hash", "lang", "l.*")
+    z2 = 1.645**2
+    n, k = F.col("n"), F.col("n_closed")
+    kinds = lines.groupBy(F.col("lang").alias("k_lang"), F.col("opener").alias("k_opener")).agg(F.count(F.lit(1)).alias("n"), F.count_if("closed").alias("n_closed"))
+    kinds = kinds.where((k + z2 / 2 + F.sqrt(z2 * (k * (n - k) / n + z2 / 4))) / (n + z2) < 0.25).select("k_lang", "k_opener", F.lit(True).alias("k_plate"))
+    # a text repeats a line of its own at times
+    once = lines.select("text_hash", "lang", "fold").union(texts.select("before", "lang", "fold")).where("fold IS NOT NULL").dropDuplicates()
+    folds = once.groupBy(F.col("lang").alias("f_lang"), F.col("fold").alias("f_fold")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= REPEATED_TEXTS)
+    totals = texts.groupBy(F.col("lang").alias("t_lang")).agg(F.count(F.lit(1)).alias("n_texts"))
+    folds = folds.join(F.broadcast(totals), F.col("f_lang") == F.col("t_lang")).where(F.col("n") >= F.col("n_texts") * REPEATED_SHARE).select("f_lang", "f_fold", F.lit(True).alias("f_plate"))
+    rows = rows.drop("lines", "text_hash", "before").join(kinds, (F.col("lang") == F.col("k_lang")) & (F.col("opener") == F.col("k_opener")), "left")
+    rows = rows.join(folds, (F.col("lang") == F.col("f_lang")) & (F.col("fold") == F.col("f_fold")), "left")
+    plate = F.col("k_plate").isNotNull() & (F.col("last_chars") <= PLATE_CHARS)
+    return rows.withColumns({"repeated": F.col("f_plate").isNotNull(), "plate": plate}).drop("k_lang", "k_opener", "k_plate", "f_lang", "f_fold", "f_plate")
+
+
 def _describe(model, language_of=language):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = model.value
         for batch in batches:
-            out = {c: [] for c in ("lang", "closed", "marked", "odds", "odds_end", "odds_mid", "raw_says", "opener", "n_words", "last_chars", "any_closed")}
+            out = {c: [] for c in ("lang", "closed", "marked", "odds", "odds_end", "odds_mid", "raw_says", "opener", "n_words", "last_chars", "any_closed", "text_hash", "fold", "before", "lines")}
             for text, raw in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 lang = language_of(text)
                 if lang == "ru" and len(_UPPER.findall(text)) > 0.45 * len(_CYRILLIC.findall(text)):
@@ -192,7 +233,12 @@ def _describe(model, language_of=language):
                 out["n_words"].append(len(text.split()))
                 out["last_chars"].append(len(last))
                 out["any_closed"].append(bool(inner) or closed)
-            kinds = (pa.string(), pa.bool_(), pa.bool_(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+                *others, end = text.rstrip().split("\n")
+                out["text_hash"].append(_digest(text))
+                out["fold"].append(_fold(end))
+                out["before"].append(_digest(_DIGIT.sub("#", next((x for x in reversed(others) if x), ""))))
+                out["lines"].append([{"opener": _opener(x), "fold": _fold(x), "closed": bool(_CLOSED.search(x))} for x in others if x])
+            kinds = (pa.string(), pa.bool_(), pa.bool_(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), _LINES)
             cols = [batch.column(0), batch.column(1), *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)), batch.column(4), batch.column(5)]
             yield pa.RecordBatch.from_arrays(cols, names=["__tm_id", "source", *out, "n_chars", "n_bytes"])
 
@@ -220,9 +266,9 @@ def describe_ends(documents: DataFrame, ident: str = "doc_id", source: str = "so
     gives its log-odds; below its language's threshold, which lies between those of known
     ends and known middles of words, it is a candidate, as is a text whose end is
     marked ('…', '[...]') or that has a length at which its source piles up; these
-    shift the odds. A candidate is no case if its last line is of a kind that never
-    ends in a full stop (menus, footers, tags, teasers), counted over all lines; if
-    the page as stored goes on behind the text, it is one, and if the page's own block
+    shift the odds, as does a short last line whose first word opens lines that never
+    end in a full stop (menus, footers, tags). A candidate is no case if its last line
+    stands whole in other texts (menus, notices, teasers). If the page as stored goes on behind the text, it is one, and if the page's own block
     ends there, it is none.
 
     Result: ``ident``, ``source``, ``lang`` (detected), ``truncated``, ``odds``,
@@ -240,23 +286,18 @@ def describe_ends(documents: DataFrame, ident: str = "doc_id", source: str = "so
         F.col(ident).alias("__tm_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("__tm_text"), page.alias("__tm_page"),
         F.length(text).cast("long").alias("n_chars"), F.octet_length(text).cast("long").alias("n_bytes"),
     )
-    schema = f"__tm_id {kind}, source string, lang string, closed boolean, marked boolean, odds double, odds_end double, odds_mid double, raw_says string, opener string, n_words long, last_chars long, any_closed boolean, n_chars long, n_bytes long"
+    schema = f"__tm_id {kind}, source string, lang string, closed boolean, marked boolean, odds double, odds_end double, odds_mid double, raw_says string, opener string, n_words long, last_chars long, any_closed boolean, text_hash long, fold long, before long, lines array<struct<opener: string, fold: long, closed: boolean>>, n_chars long, n_bytes long"
     rows = written(spread(slim).mapInArrow(_describe(model), schema), "ends")
 
-    lines = documents.where(has).select(F.split(text, "\n").alias("l")).select(F.explode("l").alias("line")).where("line <> ''")
-    opener = F.lower(F.substring(F.substring_index("line", " ", 1), 1, 8))
-    kinds = lines.groupBy(opener.alias("o")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("line").rlike("[.!?。][\"”»]?$").cast("double")).alias("closed_share"))
-    plates = kinds.where("n >= 8 AND closed_share < 0.25").select(F.col("o"), F.lit(True).alias("plate"))
-
     cuts = rows.groupBy(F.col("lang").alias("__tm_l")).agg((F.percentile_approx("odds_end", 0.03, 1000) * 0.5 + F.percentile_approx("odds_mid", 0.9, 1000) * 0.5).alias("threshold"))
-    judged = _at_limit(rows).join(plates, F.col("opener") == F.col("o"), "left").drop("o")
+    judged = _with_plates(_at_limit(rows))
     judged = judged.join(F.broadcast(cuts), F.col("lang") == F.col("__tm_l"), "left").drop("__tm_l")
-    shifted = F.col("odds") - F.when(F.col("at_limit"), 6.0).otherwise(0.0) - F.when(F.col("marked"), 6.0).otherwise(0.0)
+    shifted = F.col("odds") - F.when(F.col("at_limit"), 6.0).otherwise(0.0) - F.when(F.col("marked"), 6.0).otherwise(0.0) + F.when(F.col("plate"), PLATE_ODDS).otherwise(0.0)
     # of a text in no known language the model knows too little to speak alone
     known = (F.col("lang") != "other") | F.col("at_limit") | F.col("marked")
     candidate = ~F.col("closed") & known & (shifted < F.coalesce("threshold", F.lit(0.0)))
-    article = F.col("plate").isNull() & (F.col("any_closed") | (F.col("last_chars") > 70))
-    truncated = candidate & article & (F.col("raw_says") != "whole") | ~F.col("closed") & (F.col("raw_says") == "cut") & (F.col("plate").isNull() | F.col("at_limit") | F.col("marked"))
+    article = ~F.col("repeated") & (F.col("any_closed") | (F.col("last_chars") > 70))
+    truncated = candidate & article & (F.col("raw_says") != "whole") | ~F.col("closed") & (F.col("raw_says") == "cut")
     return judged.withColumn("truncated", truncated).select(F.col("__tm_id").alias(ident), "source", "lang", "truncated", "odds", "threshold", "at_limit", "marked", "raw_says")
 
 
