@@ -1,5 +1,6 @@
 import random
 import unicodedata
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -139,3 +140,19 @@ def test_found_pairs_equal_brute_force(seed):
             quote[k] = "changed"
         good = shown(page(" ".join(quote))).get(0, 0) >= 20
         assert good == (n >= 20)
+
+
+def test_short_words_changed_at_every_place():
+    r = random.Random(8)
+    words = r.sample(sorted({"".join(r.choices("abcdefghijklmnoprstuvw", k=r.randint(2, 4))) for _ in range(400)}), 44)
+    ix = Passages([" ".join(words), PASSAGE], LeakLimits())
+    for n, changes in ((20, 2), (24, 3)):
+        for places in combinations(range(1, n - 1), changes):
+            if changes == 3 and sum(places) % 7:
+                continue
+            quote = [("xyzzy" if k in places else w) for k, w in enumerate(words[10 : 10 + n])]
+            got = ix.search(page(" ".join(quote)))
+            assert 0 in got, places
+            if len("".join(quote[: places[0]])) >= 8 <= len("".join(quote[places[-1] + 1 :])):  # else an outer stretch is no tile
+                inner = [len("".join(quote[a + 1 : b])) for a, b in zip(places, places[1:])]
+                assert got[0][0] >= n or min(inner) < 8, places

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +21,16 @@ _TABLE_BITS = 22
 class LeakLimits:
     """Parameters. Tokens are letters and digits, since spacing does not count.
 
-    seed: tokens of a seed. seeds: shared seeds, close together, that make a pair worth
-    tiling: text of ``min_words`` words with one in eight changed has more. tile:
+    seed: tokens of a seed. A pair is worth tiling where shared seeds, nearly aligned, cover
+    what they must of ``min_words`` words running with one in ``miss`` of them changed at
+    the worst places. drift: how far off alignment seeds may be by changed words. tile:
     shortest tile. min_words: words running that make a leak. miss: of so many of them one
     may be changed or dropped. block, block_chars: items, and characters of them, that are
     looked for at once, about: a bound on what is broadcast.
     """
 
-    seed: int = 20
-    seeds: int = 12
+    seed: int = 12
+    drift: int = 64
     tile: int = 8
     min_words: int = 20
     miss: int = 8
@@ -73,7 +75,7 @@ class Passages:
     def __init__(self, passages: list[str], limits: LeakLimits) -> None:
         self.limits = limits
         self.items: list[tuple[int, str, list[str], np.ndarray]] = []  # passage, form, words, word starts
-        hashes, owner, place = [], [], []
+        hashes, owner, place, span, need = [], [], [], [], []
         for k, text in enumerate(passages):
             full, bare = plain(text), skeleton(text)
             ways = [("plain", full)]
@@ -86,12 +88,19 @@ class Passages:
                 hashes.append(h)
                 owner.append(np.full(len(h), len(self.items)))
                 place.append(np.arange(len(h)))
-                self.items.append((k, form, words, np.cumsum([0, *map(len, words)])))
+                starts = np.cumsum([0, *map(len, words)])
+                self.items.append((k, form, words, starts))
+                word = np.searchsorted(starts, place[-1], "right") - 1
+                span.append(starts[np.minimum(word + limits.min_words + limits.min_words // limits.miss, len(words))] - place[-1])
+                need.append(_least_shown(starts, limits)[word])
         h = np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64)
         order = np.argsort(h, kind="stable")
         self.hash = h[order]
         self.owner = (np.concatenate(owner) if owner else np.empty(0, dtype=np.int64))[order]
         self.place = (np.concatenate(place) if place else np.empty(0, dtype=np.int64))[order]
+        self.span, self.need = (np.concatenate(x)[order] if x else np.empty(0, dtype=np.int64) for x in (span, need))
+        self.longest = max((int(starts[-1]) for *_, starts in self.items), default=0)
+        self.skeleton = np.array([form == "skeleton" for _, form, *_ in self.items], dtype=bool)
         self.table = np.zeros(1 << _TABLE_BITS, dtype=bool)
         self.table[(self.hash >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
 
@@ -108,12 +117,48 @@ class Passages:
             return []
         doc = np.repeat(at, count)
         entry = np.repeat(low - np.cumsum(count) + count, count) + np.arange(total)
-        owner, place = self.owner[entry], self.place[entry]
+        same = self.skeleton[self.owner[entry]] == (form == "skeleton")
+        doc, entry = doc[same], entry[same]
+        worth = self._worth(doc, entry)
+        doc, owner, place = doc[worth], self.owner[entry[worth]], self.place[entry[worth]]
+        if not len(doc):
+            return []
         order = np.lexsort((place, doc, owner))
         doc, owner, place = doc[order], owner[order], place[order]
         begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        end = np.append(begin[1:], total)
-        return [(int(owner[a]), doc[a:b], place[a:b]) for a, b in zip(begin, end, strict=True) if b - a >= self.limits.seeds and self.items[owner[a]][1] == form]
+        end = np.append(begin[1:], len(doc))
+        return [(int(owner[a]), doc[a:b], place[a:b]) for a, b in zip(begin, end, strict=True)]
+
+    def _worth(self, doc: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Which shared seeds lie among enough others of their item that are nearly aligned with them."""
+        lim = self.limits
+        worth = np.zeros(len(doc), dtype=bool)
+        if not len(doc):
+            return worth
+        owner, place = self.owner[entry], self.place[entry]
+        # without alignment first: few items pass
+        some = np.flatnonzero(np.isin(owner, np.unique(self._covered(owner, place, entry))))
+        if not len(some):
+            return worth
+        entry, owner, place = entry[some], owner[some], place[some]
+        off = doc[some] - place
+        off -= off.min()
+        for shift in (0, lim.drift):  # bands that overlap by half
+            band = (off + shift) // (2 * lim.drift)
+            group = owner * int(band.max() + 1) + band
+            worth[some[np.isin(group, self._covered(group, place, entry))]] = True
+        return worth
+
+    def _covered(self, group: np.ndarray, place: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Groups, each of one item, with seeds that cover what they must of some words running."""
+        width = self.limits.seed
+        long = int(self.longest + width + 1)
+        order = np.argsort(group * long + place)
+        key = (group * long + place)[order]
+        e = entry[order]
+        total = np.concatenate([[0], np.cumsum(np.minimum(np.diff(key, append=key[-1] + width), width))])
+        good = total[np.searchsorted(key, key + self.span[e], "left")] - total[:-1] >= self.need[e]
+        return np.unique(group[order[good]])
 
     def search(self, text: str) -> dict[int, tuple[int, float, int]]:
         """Passages that a text shows: passage -> (most words running, share of its words in tiles, tiles)."""
@@ -129,8 +174,6 @@ class Passages:
                 item_text = "".join(item_words)
                 cut = np.flatnonzero(np.diff(doc) > lim.gap) + 1
                 for piece in np.split(np.arange(len(doc)), cut):
-                    if len(piece) < lim.seeds:
-                        continue
                     low, high = max(0, int(doc[piece[0]]) - length // 2 - 50), int(doc[piece[-1]]) + lim.seed + length // 2 + 50
                     region = stream[low:high]
                     tiles = greedy_tiles(item_text, region, lim.tile)
@@ -144,6 +187,24 @@ class Passages:
         return found
 
 
+def _least_shown(starts: np.ndarray, lim: LeakLimits) -> np.ndarray:
+    """For each word, the tokens that seeds must cover of ``min_words`` words of which it is the first still shown by a seed; see ``LeakLimits``."""
+    n, changes = lim.min_words, lim.min_words // lim.miss
+    first = np.arange(len(starts) - n)[:, None]
+    places = np.array(list(combinations(range(n), changes)), dtype=np.int64).reshape(-1, changes)
+    edges = np.concatenate([first[:, :, None] + places[None], np.broadcast_to(first[:, :, None] + n, (len(first), len(places), 1))], axis=2)
+    begin = np.concatenate([np.broadcast_to(first[:, :, None], (len(first), len(places), 1)), edges[:, :, :-1] + 1], axis=2)
+    size = starts[edges] - starts[begin]
+    left = np.where(size >= lim.seed, size, 0).sum(axis=2).min(axis=1)
+    # a longer run with more changes may leave a stretch less of any min_words words
+    least = np.maximum(left - lim.seed, lim.seed)
+    out = np.full(len(starts) - 1, np.iinfo(np.int64).max)
+    for before in range(2 * changes + 3):  # words before it that are changed, or in a stretch too short for a seed
+        some = out[before : before + len(least)]
+        np.minimum(some, least[: len(some)], out=some)
+    return out
+
+
 def greedy_tiles(a: str, b: str, shortest: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: longest common substrings that overlap no longer one, as (place in a, place in b, length).
 
