@@ -227,3 +227,32 @@ def test_holdout_and_dispatch(spark):
     assert analyse(df, S, REGISTRY.get("momentum"), "metrics", end="2024-02-01")["metrics"].count() == 1
     with pytest.raises(ValueError):
         analyse(df, S, st, "other")
+
+
+def test_top_of_book_on_price_and_size_ticks(spark):
+    from tidemark.operators.live_bars import top_of_book
+
+    ticks = [(1, 1, 10.0), (2, 0, 5.0), (3, 2, 11.0), (4, 1, 10.5), (5, 66, -1.0), (6, 0, 7.0), (7, 1, 10.2), (8, 70, 3.0), (9, 4, 99.0), (10, 3, None), (11, 67, 12.0)]
+    df = spark.createDataFrame([("a", seq, kind, v, seq * 100) for seq, kind, v in ticks], "k string, seq long, kind int, v double, t long")
+    got = [(r.seq, r.timestamp_us, r.side, r.price, r.size) for r in top_of_book(df, ["k"], "seq", "kind", "v", "t").orderBy("seq").collect()]
+    assert got == [(2, 200, 1, 10.0, 5.0), (4, 400, 1, 10.5, 5.0), (7, 700, 1, 10.2, 7.0), (8, 800, 0, 11.0, 3.0), (11, 1100, 0, 12.0, 3.0)]
+
+
+def test_permutation_test_moments(spark):
+    from tidemark.operators.strategy import with_strategy_returns
+
+    df = spark.createDataFrame(bars(120, 3))
+    r = permute.permutation_test(df, S, REGISTRY.get("momentum"), 6).first()
+    own = type(S)([permute.PERM, *S.keys], S.order)
+    done = with_strategy_returns(REGISTRY.get("momentum").apply(permute.permute_bars(df, S, 5), own), own, "signal", 0.0, 0.0)
+    totals = done.groupBy(permute.PERM).agg(F.sum("strategy_ret").alias("x")).toPandas().x
+    assert len(totals) == 5 and r.permuted_mean == pytest.approx(totals.mean()) and r.permuted_std == pytest.approx(totals.std(ddof=0))
+
+
+def test_live_counters(spark):
+    from tidemark.operators.live_bars import live_counters
+
+    minutes = [(1, 0, 1.0), (2, 1, 1.0), (3, 4, 1.0), (4, 1, 1.0), (5, 4, -1.0), (6, 4, None), (7, 300, 1.0)]
+    df = spark.createDataFrame([("a", m * 60_000_000, q, p, 1.0) for q, m, p in minutes] + [(None, 0, 1, 0.0, 1.0)], "k string, t long, seq long, price double, size double")
+    got = {r.k: tuple(r)[1:] for r in live_counters(df, ["k"], "t", "seq", "price", "size").collect()}
+    assert got == {"a": (5, 1, 2, 4, 2, 1, 1), None: (0, 0, 1, 0, 0, 0, 0)}

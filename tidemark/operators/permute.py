@@ -152,10 +152,11 @@ def random_orders(spark: SparkSession, rows: int, permutations: int, seed: int =
 
 
 def permutation_test(bars: DataFrame, s: Series, strategy: Strategy, n: int = 20, start_index: int = 0, mode: str = "bar", spread_bps: float = 0.0, commission_bps: float = 0.0, **params) -> DataFrame:
-    """Monte-Carlo permutation test per series: keys, ``real_return``, ``n_at_least``, ``p_value``, ``real_profit_factor``.
+    """Monte-Carlo permutation test per series: keys, ``real_return``, ``n_at_least``, ``permuted_mean``, ``permuted_std``, ``p_value``, ``real_profit_factor``.
 
     ``n - 1`` permuted series are compared with the real one on the summed strategy return;
-    p = (1 + number at least as high) / n. All permutations run side by side, as one
+    p = (1 + number at least as high) / n. Mean and deviation of the permuted sums are
+    the population's. All permutations run side by side, as one
     more key of the series; only sums leave them.
     """
     make = {"bar": permute_bars, "row": permute_rows, "block": bootstrap_blocks}[mode]
@@ -167,5 +168,7 @@ def permutation_test(bars: DataFrame, s: Series, strategy: Strategy, n: int = 20
 
     real = total(bars, s.keys).withColumnsRenamed({"total": "real_return", "factor": "real_profit_factor"})
     permuted = total(make(bars, s, n - 1, start_index), [PERM, *s.keys])
-    compared = permuted.join(real, s.keys).groupBy(*s.keys, "real_return", "real_profit_factor").agg(F.count_if(F.col("total") >= F.col("real_return")).alias("n_at_least"))
+    compared = permuted.join(real, s.keys).groupBy(*s.keys, "real_return", "real_profit_factor").agg(
+        F.count_if(F.col("total") >= F.col("real_return")).alias("n_at_least"), F.avg("total").alias("permuted_mean"), F.stddev_pop("total").alias("permuted_std"),
+    )
     return compared.withColumn("p_value", (1 + F.col("n_at_least")) / F.lit(float(n)))

@@ -11,7 +11,7 @@ from tidemark.operators import features, micro, permute, pit, strategy
 from tidemark.operators.grid import bucket_start
 from tidemark.operators.joins import asof_backward, asof_forward, matching_contract, trailing_count
 from tidemark.operators.labeling import triple_barrier
-from tidemark.operators.live_bars import last_trade_pairs, live_bars
+from tidemark.operators.live_bars import last_trade_pairs, live_bars, live_counters, top_of_book
 from tidemark.operators.trades import performance, trade_table
 from tidemark.operators.validate import hybrid_walk_forward
 from tidemark.operators.windows import Series, in_segments
@@ -257,6 +257,23 @@ def live_minute_bars(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("volume", F.round("volume", 4))
 
 
+@query(_LIVE_SQL.split(",\n    x AS (")[0] + """,
+    a AS (SELECT recording_id, ticker_id, count(*) FILTER (WHERE price > 0 AND size > 0 AND timestamp_us IS NOT NULL) AS received, count(*) AS n_all FROM trades GROUP BY ALL),
+    y AS (SELECT *, (nb - b) // 60000000 - 1 AS gap FROM p),
+    m AS (
+        SELECT recording_id, ticker_id, CAST(sum(n) AS BIGINT) AS kept, count(*) FILTER (WHERE nb IS NOT NULL AND NOT boot) AS whole, CAST(coalesce(sum(gap) FILTER (WHERE gap BETWEEN 1 AND 120), 0) AS BIGINT) AS synthetic,
+            count(*) FILTER (WHERE nb IS NOT NULL AND boot) AS boot, count(*) FILTER (WHERE gap > 120) AS large_gaps
+        FROM y GROUP BY ALL
+    )
+    SELECT a.recording_id, a.ticker_id, received, received - coalesce(kept, 0) AS late, n_all - received AS invalid, coalesce(whole, 0) + coalesce(m.synthetic, 0) AS emitted,
+        coalesce(m.synthetic, 0) AS synthetic, coalesce(m.boot, 0) AS boot, coalesce(m.large_gaps, 0) AS large_gaps
+    FROM a LEFT JOIN m ON a.recording_id IS NOT DISTINCT FROM m.recording_id AND a.ticker_id IS NOT DISTINCT FROM m.ticker_id
+""")
+def live_bar_counters(spark: SparkSession, d: str) -> DataFrame:
+    """What the live aggregator counts while it makes these bars, by recording and ticker."""
+    return live_counters(table(spark, d, "trades"), _KEY, "timestamp_us", "seq", "price", "size")
+
+
 @query("""
     WITH t AS (
         SELECT recording_id, ticker_id, seq * 2 AS seq, 4 AS kind, price AS v, timestamp_us AS t FROM trades
@@ -275,6 +292,27 @@ def paired_ticks(spark: SparkSession, d: str) -> DataFrame:
     return last_trade_pairs(price.unionByName(size), _KEY, "seq", "kind", "v", "t")
 
 
+@query("""
+    WITH t AS (
+        SELECT recording_id, ticker_id, side, seq * 2 AS seq, timestamp AS t, price AS p, NULL AS s FROM l2_updates WHERE kind = 1 AND side IN (0, 1) AND price IS NOT NULL
+        UNION ALL SELECT recording_id, ticker_id, side, seq * 2 + 1, timestamp, NULL, size FROM l2_updates WHERE kind = 1 AND side IN (0, 1) AND size IS NOT NULL
+    ), l AS (
+        SELECT recording_id, ticker_id, seq, t AS timestamp_us, side, last_value(p IGNORE NULLS) OVER w AS price, last_value(s IGNORE NULLS) OVER w AS size
+        FROM t WINDOW w AS (PARTITION BY recording_id, ticker_id, side ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    )
+    SELECT recording_id, ticker_id, seq, timestamp_us, side, 0 AS position, 1 AS operation, price, CAST(size AS DOUBLE) AS size FROM l WHERE price > 0 AND NOT isnan(price) AND size > 0
+""")
+def top_of_book_updates(spark: SparkSession, d: str) -> DataFrame:
+    """Top of book put together again from a feed of single price and size ticks, an update for each of either."""
+    t = table(spark, d, "l2_updates").where("kind = 1 AND side IN (0, 1)")
+    kinds = {"price": (1, 2, 0), "size": (0, 3, 1)}
+    ticks = [
+        t.select(*_KEY, (F.col("seq") * 2 + k).alias("seq"), F.when(F.col("side") == 1, bid).otherwise(ask).alias("kind"), F.col(c).cast("double").alias("v"), F.col("timestamp").alias("t"))
+        for c, (bid, ask, k) in kinds.items()
+    ]
+    return top_of_book(ticks[0].unionByName(ticks[1]), _KEY, "seq", "kind", "v", "t")
+
+
 @query("""
     SELECT recording_id, seq, timestamp, price, position, operation, side, size, ticker_id FROM l2_updates WHERE price IS NOT NULL AND size IS NOT NULL
 """)
@@ -450,6 +488,17 @@ def permutation_p_values(spark: SparkSession, d: str) -> DataFrame:
     return out.select("symbol", F.round("real_return", 6).alias("real_return"), "n_at_least", "p_value")
 
 
+@query()
+def permutation_moments(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and population deviation of the returns of the 19 permuted series of ``permutation_p_values``, by symbol."""
+    steady = strategy.Strategy("steady", lambda s: F.coalesce(F.when(F.abs(features.log_returns(s)) > 1e-12, F.signum(features.log_returns(s))), F.lit(0.0)))
+    out = permute.permutation_test(bars(spark, d), S, steady, 20)
+    return out.select("symbol", F.round("permuted_mean", 6).alias("permuted_mean"), F.round("permuted_std", 6).alias("permuted_std"))
+
+
+ORACLES["permutation_moments"] = ORACLES["permutation_p_values"].split("    SELECT x.symbol, round(rr.total")[0] + "    SELECT symbol, round(avg(total), 6) AS permuted_mean, round(stddev_pop(total), 6) AS permuted_std FROM x GROUP BY symbol"
+
+
 @query()
 def block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Last close of each of ten block-bootstrapped series, by symbol."""
