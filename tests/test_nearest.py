@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.operators import nearest
@@ -27,7 +29,7 @@ def brute(left, right, tolerance, direction):
 @pytest.mark.parametrize("direction,tolerance", [("nearest", 5), ("backward", 8), ("forward", None)])
 @pytest.mark.parametrize("parts", [1, 23])
 def test_equals_brute_force_with_a_hot_key_over_many_partitions(spark, monkeypatch, direction, tolerance, parts):
-    monkeypatch.setattr(nearest, "part_count", lambda df, rows_per_part=0: parts)
+    monkeypatch.setattr(nearest, "part_count", lambda df: parts)
     rng = random.Random(parts)
     make = lambda n: [(rng.choice([1, 1, 1, 1, 2, None]), rng.choice([None, *range(400)]), rng.choice([*range(n), None])) for _ in range(n)]
     left, right = make(300), make(120)
@@ -44,7 +46,7 @@ def test_ties_take_the_earlier_then_the_smallest_id(spark):
 
 
 def test_one_moment_that_fills_many_partitions(spark, monkeypatch):
-    monkeypatch.setattr(nearest, "part_count", lambda df, rows_per_part=0: 16)
+    monkeypatch.setattr(nearest, "part_count", lambda df: 16)
     a = spark.createDataFrame([(1, 10, i) for i in range(200)], "k int, t long, id long")
     b = spark.createDataFrame([(1, 10, i) for i in range(200, 0, -1)], "k int, t long, id long")
     assert {r.right_id for r in nearest_by_time(a, b, ["k"], "t", "id", "t", "id", 0).collect()} == {1}
@@ -66,3 +68,19 @@ def test_prefix_scan_across_blocks(spark, monkeypatch):
     for i in range(30):
         assert up[i] == max((v for v in vals[:i] if v is not None), default=None)
         assert down[i] == min((v for v in vals[i + 1 :] if v is not None), default=None)
+
+
+def test_scan_does_not_depend_on_batches():
+    """Left rows wait for the right row after them, whatever the batch it comes in."""
+    rng = np.random.default_rng(4)
+    n = 400
+    rows = sorted(zip(rng.integers(0, 4, n).tolist(), rng.integers(0, 60, n).tolist(), (rng.random(n) < 0.6).astype(int).tolist(), rng.integers(0, 99, n).tolist(), strict=True))
+    table = pa.table({"k": [r[0] for r in rows], "t": [r[1] for r in rows], "id": [r[3] for r in rows], "tag": pa.array([r[2] for r in rows], pa.int32())})
+
+    def scan(at_once):
+        out = pa.Table.from_batches(nearest._scan(1, at_once)(iter(table.to_batches(max_chunksize=at_once))))
+        return sorted(map(str, out.to_pylist()))
+
+    whole = scan(1000)
+    assert len(whole) == sum(r[2] for r in rows) + 2
+    assert scan(1) == scan(7) == scan(50) == whole

@@ -13,9 +13,9 @@ def skewed(spark, n=3000, seed=3):
 
 
 def test_numbers_are_exact_however_many_partitions_a_key_spans(spark, monkeypatch):
-    monkeypatch.setattr(ordered, "PART_ROWS", 100)
+    monkeypatch.setattr(ordered, "part_count", lambda df: 16)
     rows, df = skewed(spark)
-    got = {r.seq: r[IDX] for r in number_rows(df, ["k"], ["seq"], rows_per_part=100).collect()}
+    got = {r.seq: r[IDX] for r in number_rows(df, ["k"], ["seq"]).collect()}
     count = {}
     for k, seq, *_ in rows:
         assert got[seq] == count.get(k, 0)

@@ -16,68 +16,63 @@ def mean_path(n: np.ndarray) -> np.ndarray:
 
 
 class Forest:
-    """``trees`` random trees, each over ``psi`` points drawn from ``x`` (all of them if fewer).
+    """Random trees, each over its own points: ``points`` is (trees, points of a tree, features).
 
-    All trees grow together, a level at a time. Each split takes a random feature that
-    still varies in its node, and a uniform threshold between the node's extremes.
+    All trees grow together, a level at a time. A split takes a feature with a chance in
+    proportion to its extent in the node, and a uniform threshold within it. Every node
+    keeps the box of its points, so that a row outside it is isolated there with the
+    chance that a cut of the box, stretched to the row, would fall between the two; path
+    lengths are expectations over such cuts. Hence a score grows with the distance from
+    the points, also beyond the farthest of them.
     """
 
-    def __init__(self, x: np.ndarray, trees: int, psi: int, seed: int) -> None:
+    def __init__(self, points: np.ndarray, seed: int) -> None:
         rng = np.random.default_rng(seed)
-        n, width = x.shape
-        self.width = width
-        psi = min(psi, n)
+        self.trees, psi, width = points.shape
         self.depth = max(1, int(np.ceil(np.log2(max(psi, 2)))))
         self.norm = max(float(mean_path(np.array(psi))), 1.0)
-        draw = np.argsort(rng.random((trees, n)), axis=1)[:, :psi] if n <= 4 * psi else rng.integers(0, n, (trees, psi))
-        points = x[draw].reshape(trees * psi, width)
-        tree = np.repeat(np.arange(trees), psi)
-        last = 1 << self.depth
-        expected = mean_path(np.arange(psi + 1))
-        self.feature = np.zeros((trees, last), dtype=np.int64)
-        self.cut = np.full((trees, last), np.inf, dtype=x.dtype)
-        self.path = np.zeros((trees, last))
-        node = np.zeros(trees * psi, dtype=np.int64)
-        begin = 0
-        ended = np.full((trees, 1), -1.0)  # path length of a node above which growth has ended
-        for level in range(self.depth):
-            nodes = 1 << level
-            cell = tree * nodes + node
-            size = np.bincount(cell, minlength=trees * nodes).reshape(trees, nodes)
-            order = np.argsort(cell, kind="stable")
-            filled = np.flatnonzero(size.ravel())
-            at = np.cumsum(size.ravel()[filled]) - size.ravel()[filled]
-            sorted_points = points[order]
-            low = np.zeros((trees * nodes, width), dtype=x.dtype)
-            high = np.zeros_like(low)
-            low[filled] = np.minimum.reduceat(sorted_points, at, axis=0)
-            high[filled] = np.maximum.reduceat(sorted_points, at, axis=0)
-            lottery = rng.random(low.shape) * (high > low)
-            pick = np.argmax(lottery, axis=1)
-            rows = np.arange(len(pick))
-            varies = high[rows, pick] > low[rows, pick]
-            cut = low[rows, pick] + rng.random(len(pick)).astype(x.dtype) * (high[rows, pick] - low[rows, pick])
-            stop = ~varies.reshape(trees, nodes)
-            ended = np.where((ended < 0) & stop, level + expected[size], ended)
-            self.feature[:, begin : begin + nodes] = pick.reshape(trees, nodes)
-            self.cut[:, begin : begin + nodes] = np.where(stop, np.inf, cut.reshape(trees, nodes))
-            side = points[np.arange(len(points)), pick[cell]] > np.where(varies, cut, np.inf)[cell]
-            node = 2 * node + side
-            ended = np.repeat(ended, 2, axis=1)
-            begin += nodes
-        size = np.bincount(tree * last + node, minlength=trees * last).reshape(trees, last)
-        self.path = np.where(ended >= 0, ended, self.depth + expected[size]).astype(np.float32)
+        expected = mean_path(np.arange(psi + 1)).astype(np.float32)
+        flat = np.ascontiguousarray(points.reshape(-1, width), dtype=np.float32)
+        cell = np.repeat(np.arange(self.trees), psi)
+        at_point = np.arange(len(flat))
+        self.levels = []
+        for level in range(self.depth + 1):
+            cells = self.trees << level
+            size = np.bincount(cell, minlength=cells)
+            order = np.argsort(cell.astype(np.uint16) if cells <= 1 << 16 else cell, kind="stable")
+            filled = np.flatnonzero(size)
+            begin = np.cumsum(size[filled]) - size[filled]
+            sorted_points = flat[order]
+            low, high = np.zeros((2, cells, width), dtype=np.float32)
+            low[filled] = np.minimum.reduceat(sorted_points, begin, axis=0)
+            high[filled] = np.maximum.reduceat(sorted_points, begin, axis=0)
+            extent = high - low
+            upto = np.cumsum(extent, axis=1)
+            total = upto[:, -1]
+            draw = rng.random((2, cells), dtype=np.float32)
+            feature = np.minimum((upto <= (draw[0] * total)[:, None]).sum(axis=1), width - 1)
+            every = np.arange(cells)
+            cut = low[every, feature] + draw[1] * extent[every, feature]
+            cut = np.minimum(cut, np.nextafter(high[every, feature], np.float32(-np.inf)))
+            cut = np.where(total > 0, cut, np.float32(np.inf))
+            self.levels.append((low, high, total, feature, cut, level + expected[size], total <= 0))
+            cell = 2 * cell + (flat[at_point, feature[cell]] > cut[cell])
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Anomaly score of each row, in (0, 1); about 0.5 for ordinary rows, more for those that are isolated early."""
-        n, trees = len(x), len(self.cut)
-        total = np.zeros(n, dtype=np.float32)
-        flat, at = np.ascontiguousarray(x).ravel(), np.arange(n, dtype=np.int64) * self.width
-        for k in range(trees):
-            feature, cut = self.feature[k], self.cut[k]
-            node = np.zeros(n, dtype=np.int64)
-            for level in range(self.depth):
-                here = node + ((1 << level) - 1)
-                node = 2 * node + (flat[at + feature[here]] > cut[here])
-            total += self.path[k][node]
-        return np.exp2(-total / trees / self.norm)
+        """Anomaly score of each row, in (0, 1); about 0.5 for rows among the points, more the earlier they are isolated."""
+        n, width = x.shape
+        rows = np.tile(np.ascontiguousarray(x, dtype=np.float32), (self.trees, 1))
+        flat, at = rows.ravel(), np.arange(len(rows)) * width
+        cell = np.repeat(np.arange(self.trees), n)
+        left = np.ones(len(rows), dtype=np.float32)  # chance of not being isolated so far
+        path = np.zeros(len(rows), dtype=np.float32)
+        for level, (low, high, total, feature, cut, leaf, single) in enumerate(self.levels):
+            beyond = (np.maximum(low[cell] - rows, 0) + np.maximum(rows - high[cell], 0)).sum(axis=1)
+            chance = np.divide(beyond, beyond + total[cell], out=np.zeros_like(beyond), where=beyond > 0)
+            path += left * chance * (level + 1)
+            left *= 1 - chance
+            ends = single[cell] if level < self.depth else True
+            path += np.where(ends, left * leaf[cell], 0)
+            left = np.where(ends, 0, left)
+            cell = 2 * cell + (flat[at + feature[cell]] > cut[cell])
+        return np.exp2(-path.reshape(self.trees, n).mean(axis=0) / self.norm)

@@ -10,61 +10,96 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.ordered import PID, new_run, part_count
-from tidemark.session import written
+from tidemark.operators.ordered import KIND, PID, new_run, part_count
+from tidemark.session import written_apart
 
 T_, ID, TAG = "__tm_t", "__tm_id", "__tm_tag"
 RIGHT, LEFT = 0, 1
 BLOCK = 1024
 
 
-def _scan(n_keys: int):
-    """Of each left row of a sorted partition, the nearest right rows before and after it; of the right rows, the partition's first and last."""
+def _scan(n_keys: int, at_once: int = 50_000):
+    """Of each left row of a sorted partition, the nearest right rows before and after it (kind 0); of the right rows, the partition's first and last (kind 1).
+
+    Batches are scanned as they come. Rows are held back only from the last right row
+    of the key at hand on, since what follows them is not known yet.
+    """
+    found = ("__tm_bt", "__tm_bid", "__tm_ft", "__tm_fid")
+
+    def rows(table: pa.Table, pick: np.ndarray, kind: int, values=None) -> pa.Table:
+        out = table.take(pa.array(pick))
+        for name in found:
+            col = pa.nulls(len(pick), pa.int64()) if values is None else values[name]
+            out = out.append_column(name, col)
+        return out.append_column(KIND, pa.array(np.full(len(pick), kind, dtype=np.int32)))
 
     def run(batches):
-        table = pa.Table.from_batches(batches).combine_chunks() if (batches := [b for b in batches if b.num_rows]) else None
-        if table is None:
-            return
-        keys = [table.column(k) for k in range(n_keys)]
-        t = np.asarray(table.column(n_keys))
-        ident = np.asarray(table.column(n_keys + 1))
-        right = np.asarray(table.column(n_keys + 2)) == RIGHT
-        n = len(t)
-        at = np.arange(n)
-        new_key = new_run(keys)
-        key_start = np.maximum.accumulate(np.where(new_key, at, 0))
-        # the first row at each (key, time): rights sort first there, by id
-        new_time = new_key.copy()
-        new_time[1:] |= t[1:] != t[:-1]
-        time_start = np.maximum.accumulate(np.where(new_time, at, 0))
-        before = np.maximum.accumulate(np.where(right, at, -1))
-        has_before = before >= key_start
-        before = time_start[np.maximum(before, 0)]
-        ends = np.append(np.flatnonzero(new_key)[1:], n)
-        key_end = ends[np.cumsum(new_key) - 1]
-        after = np.minimum.accumulate(np.where(right, at, n)[::-1])[::-1]
-        has_after = after < key_end
-        after = np.minimum(after, n - 1)
-        rows = ~right
-        if right.any():
-            edge = np.flatnonzero(right)
-            rows[[edge[0], time_start[edge[-1]]]] = True
-        pick = np.flatnonzero(rows)
-
-        def col(values, valid):
-            return pa.array(values[pick], mask=~valid[pick])
-
-        arrays = [k.take(pa.array(pick)) for k in keys] + [
-            pa.array(t[pick]), pa.array(ident[pick]), pa.array(np.where(right[pick], RIGHT, LEFT).astype(np.int32)),
-            col(t[before], has_before & ~right), col(ident[before], has_before & ~right),
-            col(t[after], has_after & ~right), col(ident[after], has_after & ~right),
-        ]
-        out = pa.table(arrays, names=[*table.schema.names, "__tm_bt", "__tm_bid", "__tm_ft", "__tm_fid"])
-        yield from out.to_batches(max_chunksize=20_000)
+        held, first, last = None, None, None
+        for batch in _with_end(batches, at_once):
+            final = batch is None
+            if final:
+                table = held
+            else:
+                table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if table is None or not table.num_rows:
+                break
+            table = table.combine_chunks()
+            t, ident = np.asarray(table.column(n_keys)), np.asarray(table.column(n_keys + 1))
+            right = np.asarray(table.column(n_keys + 2)) == RIGHT
+            n = len(t)
+            at = np.arange(n)
+            new_key = new_run([table.column(k) for k in range(n_keys)]) if n_keys else at == 0
+            key_start = np.maximum.accumulate(np.where(new_key, at, 0))
+            # the first row at each (key, time): rights sort first there, by id
+            new_time = new_key.copy()
+            new_time[1:] |= t[1:] != t[:-1]
+            time_start = np.maximum.accumulate(np.where(new_time, at, 0))
+            before = np.maximum.accumulate(np.where(right, at, -1))
+            if right.any():
+                edge = np.flatnonzero(right)
+                if first is None:
+                    first = rows(table, edge[:1], 1)
+                last = rows(table, time_start[edge[-1:]], 1)
+            has_before = before >= key_start
+            before = time_start[np.maximum(before, 0)]
+            ends = np.append(np.flatnonzero(new_key)[1:], n)
+            key_end = ends[np.cumsum(new_key) - 1]
+            after = np.minimum.accumulate(np.where(right, at, n)[::-1])[::-1]
+            has_after = after < key_end
+            after = np.minimum(after, n - 1)
+            # rows of ended keys, and those before the last right row, are settled
+            latest = before[-1] if has_before[-1] else key_start[-1]
+            settled = n if final else latest
+            pick = np.flatnonzero(~right[:settled])
+            if len(pick):
+                values = {
+                    "__tm_bt": pa.array(t[before[pick]], mask=~has_before[pick]), "__tm_bid": pa.array(ident[before[pick]], mask=~has_before[pick]),
+                    "__tm_ft": pa.array(t[after[pick]], mask=~has_after[pick]), "__tm_fid": pa.array(ident[after[pick]], mask=~has_after[pick]),
+                }
+                yield from rows(table, pick, 0, values).to_batches(max_chunksize=20_000)
+            held = table.slice(latest)
+        for edge in (first, last):
+            if edge is not None:
+                yield from edge.combine_chunks().to_batches()
 
     return run
 
 
+def _with_end(batches, at_once: int):
+    """Batches of at least ``at_once`` rows, then None."""
+    some, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            some.append(batch)
+            n += batch.num_rows
+        if n >= at_once:
+            yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+            some, n = [], 0
+    if some:
+        yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+    yield None
+
+
 def prefix_max(parts: DataFrame, value: str, out: str, reverse: bool = False) -> DataFrame:
     """The maximum (``reverse``: the minimum, from the end) of ``value`` over all partitions before (after) each, null where there is none.
 
@@ -101,7 +136,8 @@ def nearest_by_time(
     the id, so a key may span any number of partitions, even one moment may. Each
     partition is scanned on its own; what a partition needs from others is the last
     right row before it and the first after it, which a prefix scan over one row per
-    partition provides. Only left rows leave the scan.
+    partition provides: ``MAX_PARTS`` rows at most, and these are broadcast. Only left
+    rows leave the scan.
     """
     if direction not in ("nearest", "backward", "forward"):
         raise ValueError(f"no such direction: {direction}")
@@ -113,19 +149,22 @@ def nearest_by_time(
     ks = [f"__tm_k{i}" for i in range(len(keys))]
     both = side(left, left_time, left_id, LEFT).unionByName(side(right, right_time, right_id, RIGHT))
     order: list[Column | str] = [*ks, T_, TAG, ID]
-    ranged = both.repartitionByRange(part_count(both), *order).sortWithinPartitions(*order)
+    n_parts = part_count(both)
+    ranged = both.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
     longs = [T.StructField(c, T.LongType()) for c in ("__tm_bt", "__tm_bid", "__tm_ft", "__tm_fid")]
-    schema = T.StructType([*both.schema.fields, *longs])
-    scanned = written(ranged.mapInArrow(_scan(len(keys)), schema).withColumn(PID, F.spark_partition_id()), "nearest")
+    schema = T.StructType([*both.schema.fields, *longs, T.StructField(KIND, T.IntegerType())])
+    scanned, edges = written_apart(ranged.mapInArrow(_scan(len(keys)), schema).withColumn(PID, F.spark_partition_id()), "nearest", KIND)
 
     key = F.struct(*ks)
-    edge = F.when(F.col(TAG) == RIGHT, F.struct(key.alias("k"), F.col(T_).alias("t"), (-F.col(ID)).alias("nid")))
-    edge_up = F.when(F.col(TAG) == RIGHT, F.struct(key.alias("k"), F.col(T_).alias("t"), F.col(ID).alias("id")))
-    parts = scanned.groupBy(PID).agg(F.max(edge).alias("__tm_last"), F.min(edge_up).alias("__tm_next"))
+    edge = F.struct(key.alias("k"), F.col(T_).alias("t"), (-F.col(ID)).alias("nid"))
+    edge_up = F.struct(key.alias("k"), F.col(T_).alias("t"), F.col(ID).alias("id"))
+    parts = edges.groupBy(PID).agg(F.max(edge).alias("__tm_last"), F.min(edge_up).alias("__tm_next"))
+    # a partition without right rows has no edge of its own, but may need others'
+    parts = edges.sparkSession.range(n_parts).select(F.col("id").cast("int").alias(PID)).join(F.broadcast(parts), PID, "left")
     parts = prefix_max(parts, "__tm_last", "__tm_back")
     parts = prefix_max(parts, "__tm_next", "__tm_fwd", reverse=True).select(PID, "__tm_back", "__tm_fwd")
 
-    rows = scanned.where(F.col(TAG) == LEFT).join(F.broadcast(parts), PID, "left")
+    rows = scanned.join(F.broadcast(parts), PID, "left")
 
     def candidate(t: Column, ident: Column, valid: Column) -> Column:
         if tolerance is not None:

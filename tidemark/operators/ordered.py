@@ -19,18 +19,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import written
+from tidemark.session import input_bytes, written_apart
 
 PID, RN, LEAD, IDX, CHUNK = "__tm_pid", "__tm_rn", "__tm_lead", "__tm_idx", "__tm_chunk"
 
-#: Rows that one range partition is meant to hold.
-PART_ROWS = 400_000
+KIND = "__tm_kind"
 
+#: Bytes of input that one range partition is meant to hold, and the most partitions there are: a bound on bounds, edges and offsets at any scale.
+PART_BYTES = 12 << 20
+MAX_PARTS = 20_000
 
-def part_count(df: DataFrame, rows_per_part: int = PART_ROWS) -> int:
-    """Range partitions for ``df``: by its row count, and enough to occupy the cluster."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return max(cores, -(-df.count() // rows_per_part))
+
+def part_count(df: DataFrame) -> int:
+    """Range partitions for ``df``: by the size of the tables it reads, enough to occupy the cluster, and at most ``MAX_PARTS``.
+
+    Beyond that partitions grow; they are sorted with spilling and scanned in batches, so any size will do.
+    """
+    spark = df.sparkSession
+    cores, size = spark.sparkContext.defaultParallelism, input_bytes(df)
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions")) if size is None else -(-size // PART_BYTES)
+    return max(cores, min(MAX_PARTS, wanted))
 
 
 def new_run(columns: Sequence[pa.ChunkedArray]) -> np.ndarray:
@@ -51,8 +59,14 @@ def new_run(columns: Sequence[pa.ChunkedArray]) -> np.ndarray:
 
 
 def _number(keys: Sequence[str]) -> Callable:
+    """Numbers the rows of a sorted partition within their keys; at its end, a row each for its first and its last key with their counts."""
+
+    def marked(batch: pa.RecordBatch, rn: np.ndarray, lead: np.ndarray, kind: int) -> pa.RecordBatch:
+        extra = [pa.array(rn.astype(np.int64)), pa.array(lead), pa.array(np.full(batch.num_rows, kind, dtype=np.int32))]
+        return pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, RN, LEAD, KIND])
+
     def run(batches):
-        last, count, first_run = None, 0, True
+        last, count, first_run, head = None, 0, True, None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -64,14 +78,24 @@ def _number(keys: Sequence[str]) -> Callable:
             at = np.arange(batch.num_rows)
             begin = np.maximum.accumulate(np.where(starts, at, -1))
             rn = np.where(begin < 0, at + count, at - begin)
-            lead = ((begin < 0) & first_run) if begun else begin == 0
-            last, count, first_run = tuple(c[-1].as_py() for c in cols), int(rn[-1]) + 1, bool(lead[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rn.astype(np.int64)), pa.array(lead)], names=[*batch.schema.names, RN, LEAD])
+            if begun:
+                lead = (begin < 0) & first_run
+            else:
+                lead = begin == 0
+            if head is None or lead.any():
+                n_lead = int(lead.sum())
+                head = (batch.slice(0, 1), int(rn[n_lead - 1]) + 1)
+            last, count, first_run, tail = tuple(c[-1].as_py() for c in cols), int(rn[-1]) + 1, bool(lead[-1]), batch.slice(batch.num_rows - 1, 1)
+            yield marked(batch, rn, lead, 0)
+        if head is not None:
+            yield marked(head[0], np.array([head[1]]), np.array([True]), 1)
+            if not first_run:
+                yield marked(tail, np.array([count]), np.array([False]), 1)
 
     return run
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], rows_per_part: int = PART_ROWS) -> DataFrame:
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """``df`` with ``__tm_idx``, the 0-based number of each row within its key.
 
     Rows are ordered by ``order`` (nulls first); give it a unique last column, or
@@ -79,19 +103,18 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
     An empty table gives an empty table. All columns of ``df`` are kept, so select
     what is needed first.
 
-    Any key may exceed a task: the only tables that are not spread are one row per
-    partition, broadcast to add the number at which a partition's first key goes on.
+    Any key may exceed a task. A partition counts its first and its last key while it
+    numbers its rows; only those can span partitions, so the number at which a
+    partition's first key goes on follows from two rows a partition, at most
+    ``2 * MAX_PARTS`` rows, which are broadcast.
     """
-    n = part_count(df, rows_per_part)
+    n = part_count(df)
     by = [*(F.col(k) for k in keys), *(F.col(o) if isinstance(o, str) else o for o in order)]
     ranged = df.repartitionByRange(n, *by).sortWithinPartitions(*by)
-    schema = T.StructType([*df.schema.fields, T.StructField(RN, T.LongType()), T.StructField(LEAD, T.BooleanType())])
-    numbered = ranged.mapInArrow(_number(list(keys)), schema).withColumn(PID, F.spark_partition_id())
-    table = written(numbered, "numbered")
-    counts = table.groupBy(PID, *keys).agg(F.count(F.lit(1)).alias("__tm_n"), F.max(LEAD).alias("__tm_first"))
-    before = F.sum("__tm_n").over(Window.partitionBy(*keys).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1))
-    # one row a partition at most: only its first key can have begun in an earlier one
-    offsets = counts.withColumn("__tm_off", before).where("__tm_first AND __tm_off > 0").select(PID, "__tm_off")
+    schema = T.StructType([*df.schema.fields, T.StructField(RN, T.LongType()), T.StructField(LEAD, T.BooleanType()), T.StructField(KIND, T.IntegerType())])
+    table, edges = written_apart(ranged.mapInArrow(_number(list(keys)), schema).withColumn(PID, F.spark_partition_id()), "numbered", KIND)
+    before = F.sum(RN).over(Window.partitionBy(*keys).orderBy(PID, F.desc(LEAD)).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = edges.withColumn("__tm_off", before).where(F.col(LEAD) & (F.col("__tm_off") > 0)).select(PID, "__tm_off")
     return (
         table.join(F.broadcast(offsets), PID, "left")
         .withColumn(IDX, F.col(RN) + F.when(F.col(LEAD), F.coalesce("__tm_off", F.lit(0))).otherwise(0))

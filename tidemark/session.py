@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _LOCAL: dict[str, str] = {}
 
@@ -44,35 +45,62 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: its lineage is cut, its rows are fixed.
 
-    Unlike a cached frame the table outlives any executor. It is removed when the
+    Unlike a cached frame the table outlives any executor. ``release`` removes it when
+    the results that read it are no longer needed; at the latest it goes when the
     session's file system closes.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    path = _new_path(df.sparkSession, name)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Tables under this many bytes, by the planner's estimate, are dealt out to all cores before heavy work on single rows.
-SMALL_BYTES = 32 << 20
+def written_apart(df: DataFrame, name: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """As ``written``, but the rows whose column ``kind`` is 0 and 1 as two tables, so that the few of one kind are read without the many of the other."""
+    spark = df.sparkSession
+    path = _new_path(spark, name)
+    setting = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "4")  # two open files a task, and rows stay in order
+    try:
+        df.write.partitionBy(kind).parquet(path)
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+    schema = T.StructType([f for f in df.schema.fields if f.name != kind])
+    reader = spark.read.schema(schema).option("pathGlobFilter", "*.parquet")
+    return tuple(reader.parquet(f"{path}/{kind}={k}") if _exists(spark, f"{path}/{kind}={k}") else spark.createDataFrame([], schema) for k in (0, 1))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` in as many partitions as there are cores, if it is small and lies in fewer files than that.
+def release(spark: SparkSession) -> None:
+    """Removes the tables written for queries of this session so far; frames made before that read them can no longer be run."""
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
-    A small table is often one file of one row group, hence one task, however many
-    cores are idle. A table above ``SMALL_BYTES``, or of enough files, is left as its files
-    divide it, so that nothing large is shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < SMALL_BYTES and len(df.inputFiles()) < cores else df
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def _new_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of the tables that ``df`` reads, by the planner; None if it cannot tell for one of them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return None if any(s >= 1 << 60 for s in sizes) else sum(sizes)
 
 
 def task_count(spark: SparkSession) -> int:
