@@ -103,6 +103,16 @@ def input_bytes(df: DataFrame) -> int | None:
     return None if any(s >= 1 << 60 for s in sizes) else sum(sizes)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` in as many parts as there are cores, if it comes in fewer; for heavy work on single rows.
+
+    A table of few files of one row group each is few tasks, however many cores are
+    idle. One that comes in parts enough is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def task_count(spark: SparkSession) -> int:
     """Partitions for work that costs far more than its bytes, so that it is not packed into few tasks by size."""
     return max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
