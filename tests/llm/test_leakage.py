@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm.folding import forms, plain, redecoded, skeleton
-from tidemark.llm.leakage import LeakLimits, Passages, greedy_tiles, leaked_passages, window_hashes
+from tidemark.llm.leakage import LeakLimits, Passages, RollingHash, greedy_tiles, leaked_passages, reading_words, window_hashes
 
 rng = random.Random(5)
 VOCAB = ["".join(rng.choices("abcdefghijklmnoprstuvw", k=rng.randint(3, 9))) for _ in range(900)]
@@ -39,6 +39,9 @@ def test_rolling_hash_equals_any_cut():
         again = np.concatenate([codes[:50], codes])
         assert (window_hashes(again, width)[50:] == h).all()
     assert len(window_hashes(codes[:3], 4)) == 0
+    h = RollingHash(codes)
+    begin, length = np.array([0, 5, 5, 290]), np.array([9, 9, 1, 10])
+    assert h.stretches(begin, length).tolist() == [int(window_hashes(codes, n)[a]) for a, n in zip(begin, length, strict=True)]
 
 
 def longest_common(a, b, free_a, free_b):
@@ -126,6 +129,13 @@ def test_reordered_passages_by_coverage(spark):
     i = spark.createDataFrame([(7, PASSAGE)], "item_id long, passage string")
     (r,) = leaked_passages(d, i, min_coverage=0.9).collect()
     assert r.coverage > 0.9 and r.tiles >= 3 and r.words_running < 30
+    parts = [WORDS[k : k + 10] for k in (50, 0, 30, 10, 40, 20)]  # too short to run, but all there
+    other = random.Random(11)
+    mixed = " ".join(" ".join(["".join(other.choices("xyz", k=5)) for _ in range(30)] + p) for p in parts)
+    d = spark.createDataFrame([(1, page(mixed)), (2, page(" ".join(WORDS[:15])))], "doc_id long, text string")
+    (r,) = leaked_passages(d, i, min_coverage=0.8).collect()
+    assert r.doc_id == 1 and r.coverage > 0.9 and r.words_running < 20
+    assert leaked_passages(d, i).count() == 0
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -156,3 +166,31 @@ def test_short_words_changed_at_every_place():
             if len("".join(quote[: places[0]])) >= 8 <= len("".join(quote[places[-1] + 1 :])):  # else an outer stretch is no tile
                 inner = [len("".join(quote[a + 1 : b])) for a, b in zip(places, places[1:])]
                 assert got[0][0] >= n or min(inner) < 8, places
+
+
+@pytest.mark.parametrize("low,high", [(2, 3), (2, 4), (3, 5), (3, 8)])
+def test_recall_at_the_threshold_by_word_length(low, high):
+    """20 words running with two changed, and 24 with three, at any places but the outer words: all are tiled, and nearly all count."""
+    r, enough = random.Random(low * 10 + high), 0
+    for trial in range(50):
+        words = ["".join(r.choices("abcdefghijklmnoprstuvw", k=r.randint(low, high))) for _ in range(60)]
+        n, changes = ((20, 2), (24, 3))[trial % 2]
+        a = r.randrange(0, 60 - n)
+        quote = words[a : a + n]
+        for k in r.sample(range(1, n - 1), changes):
+            quote[k] = "qqzzyy"
+        got = Passages([" ".join(words)], LeakLimits()).search(page(" ".join(quote)))
+        assert 0 in got, (trial, quote)
+        enough += got[0][0] >= 20
+    # two changes side by side leave outer words too short to be told from chance
+    assert enough >= (49 if low > 2 else 45), enough
+
+
+def test_writing_without_spaces():
+    ja = "古い灯台の見張りは冬の嵐のあとで港の鐘を直したが誰もその理由を知らなかった。市場の橋は春になってから塗り直され庭の梯子は売られた"
+    ix = Passages([ja], LeakLimits())
+    assert len(reading_words(plain(ja))) >= 25
+    assert ix.search("はじめに。" + ja + "おわり。")[0][0] >= 25
+    assert ix.search(ja[:46] + "ここからは別の話が続くのである")[0][0] >= 20
+    assert ix.search(ja[:20] + "ここからは別の話が続くのである").get(0, (0,))[0] < 20
+    assert reading_words(["abc", "漢字カナx"]) == ["abc", "漢字", "カナ", "x"]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import new_run
-from tidemark.session import spread, task_count, written
+from tidemark.session import dealt, task_count, written
 
 #: Tokens a lane is meant to hold: windows are filled lane by lane, each lane in one task.
 LANE_TOKENS = 4_000_000
@@ -46,7 +46,7 @@ def token_counts(df: DataFrame, ident: str, text: str, vocabulary: str | None =
 
     kind = df.schema[ident].dataType.simpleString()
     slim = df.select(F.col(ident).alias("__tm_id"), F.col(text).alias("__tm_text")).where("__tm_text IS NOT NULL")
-    return spread(slim).mapInArrow(run, f"__tm_id {kind}, n_tokens long").where("n_tokens > 0")
+    return dealt(slim).mapInArrow(run, f"__tm_id {kind}, n_tokens long").where("n_tokens > 0")
 
 
 class SumOfSquares:

@@ -22,14 +22,22 @@ def p6_room(spark: SparkSession, d: str) -> DataFrame:
     return total.withColumn("unused_share", 1 - F.col("n_tokens") / (F.col("n_containers") * 2048))
 
 
+#: Share of a passage's words that makes a leak even if they do not stand in its order.
+REORDERED = 0.8
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
-    """Which test items leaked: documents that show each, most words running, and the best coverage by tiles."""
-    leaks = leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
-    return leaks.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("words_running").alias("words_running"), F.round(F.max("coverage"), 6).alias("coverage"))
+    """Which test items leaked: documents that show words running, those that only show most of the passage in another order, most words running and best coverage by tiles."""
+    leaks = leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"), min_coverage=REORDERED)
+    running = F.col("words_running") >= 20
+    return leaks.groupBy("item_id").agg(
+        F.count_if(running).alias("n_documents"), F.count_if(~running).alias("n_reordered"),
+        F.max("words_running").alias("words_running"), F.round(F.max("coverage"), 6).alias("coverage"),
+    )
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.folding import plain, redecoded
 from tidemark.llm.leakage import window_hashes
-from tidemark.session import spread, written
+from tidemark.session import dealt, written
 
 #: Context lengths of the model, and hash buckets of each: with the languages, a bound on its size.
 LEVELS = (1, 2, 3, 4, 6)
@@ -97,7 +97,7 @@ def context_counts(documents: DataFrame, text: str) -> DataFrame:
                 s = slice(a, a + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(level[s])), pa.array(level[s].astype(np.int32)), pa.array(cell[s].astype(np.int32)), pa.array(mid[level[s], cell[s]]), pa.array(end[level[s], cell[s]])], names=["lang", "level", "cell", "n_mid", "n_end"])
 
-    counted = spread(documents.select(text).where(F.col(text).isNotNull())).mapInArrow(run, "lang string, level int, cell int, n_mid long, n_end long")
+    counted = dealt(documents.select(text).where(F.col(text).isNotNull())).mapInArrow(run, "lang string, level int, cell int, n_mid long, n_end long")
     return counted.groupBy("lang", "level", "cell").agg(F.sum("n_mid").alias("n_mid"), F.sum("n_end").alias("n_end"))
 
 
@@ -287,7 +287,7 @@ def describe_ends(documents: DataFrame, ident: str = "doc_id", source: str = "so
         F.length(text).cast("long").alias("n_chars"), F.octet_length(text).cast("long").alias("n_bytes"),
     )
     schema = f"__tm_id {kind}, source string, lang string, closed boolean, marked boolean, odds double, odds_end double, odds_mid double, raw_says string, opener string, n_words long, last_chars long, any_closed boolean, text_hash long, fold long, before long, lines array<struct<opener: string, fold: long, closed: boolean>>, n_chars long, n_bytes long"
-    rows = written(spread(slim).mapInArrow(_describe(model), schema), "ends")
+    rows = written(dealt(slim).mapInArrow(_describe(model), schema), "ends")
 
     cuts = rows.groupBy(F.col("lang").alias("__tm_l")).agg((F.percentile_approx("odds_end", 0.03, 1000) * 0.5 + F.percentile_approx("odds_mid", 0.9, 1000) * 0.5).alias("threshold"))
     judged = _with_plates(_at_limit(rows))
