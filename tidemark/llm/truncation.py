@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -10,7 +9,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.folding import plain, redecoded
@@ -20,43 +19,93 @@ from tidemark.session import dealt, written
 #: Context lengths of the model, and hash buckets of each: with the languages, a bound on its size.
 LEVELS = (1, 2, 3, 4, 6)
 BUCKETS = 1 << 16
-#: Frequent short words by language.
-STOP_WORDS = {
-    "en": "the of and was a in by to for that it is with his her their",
-    "de": "der die das und in den ein eine hat wurde nicht von ist für mit",
-    "fr": "le la les et un une du de fut dans pour que qui mais ne",
-    "es": "el los las y un una del en fue por que pero ha aquel nadie",
-    "pt": "o os um uma do da em foi por que mas não tinha aquele ninguém",
-}
-LANGUAGES = (*STOP_WORDS, "ru", "ja", "other")
-_KANA, _CYRILLIC = re.compile("[぀-ヿ]"), re.compile("[Ѐ-ӿ]")
+#: Letters of the contexts by which languages are told apart, the least share of all text that makes a language, and the mean log-probability below which a text is in none.
+LETTERS, LEAST_SHARE, FOREIGN = 3, 0.0005, -10.0
+#: Language codes that name no one language.
+NO_LANGUAGE = ("und", "mul", "zxx", "mis")
+OTHER = "other"
+_TAG = re.compile(r"\s*([a-z]{2,3})(?:[^a-z]|$)")
+_CYRILLIC = re.compile("[Ѐ-ӿ]")
 _UPPER = re.compile("[А-ЯЁ]")
 _MARK = re.compile(r"\s*(?:\[\s*(?:\.{3}|…)\s*\]|…|\.{3})\s*$")
 _CLOSED = re.compile(r"(?:[.!?。！？](?:[\"”»’'」』)\]]|&quot;|&#x27;)*|[.!?][\"”»]?\s?[»”\"])\s*$")
 _DIGIT = re.compile(r"\d")
 #: Longest line that can be a plate by its first word, and by being repeated whole; least texts, and share of its language's texts, that show a repeated line; log-odds of a plate's first word.
 PLATE_CHARS, REPEATED_CHARS, REPEATED_TEXTS, REPEATED_SHARE, PLATE_ODDS = 60, 120, 3, 0.0005, 6.0
+#: A length is a limit of its source if texts pile up there against the lengths around: so many times as dense, and by chance with a probability under exp(-this).
+PILE_DENSITY, PILE_ODDS = 6.0, 13.8
 _ENDERS = np.array([ord(c) for c in ".!?。"], dtype=np.uint64)
 
 
-def language(text: str) -> str:
-    """The language a whole text is in, by script or by its frequent words; 'other' if none shows."""
-    kana, cyrillic = len(_KANA.findall(text)), len(_CYRILLIC.findall(text))
-    if max(kana, cyrillic) > 0.15 * len(text):
-        return "ja" if kana > cyrillic else "ru"
-    seen = Counter(text.lower().split())
-    votes = {lang: sum(seen[w] for w in words.split()) for lang, words in STOP_WORDS.items()}
-    best = max(votes, key=votes.get)
-    return best if votes[best] else "other"
+def _text_codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
 
 
 def _cells(codes: np.ndarray, k: int) -> np.ndarray:
     return (window_hashes(codes, k) >> np.uint64(48)).astype(np.int64)
 
 
-def _count(texts: list[str], mid: np.ndarray, end: np.ndarray) -> None:
-    """Adds the contexts of ``texts``: of every character to ``mid``, of the ends of sentences and of lines but the last to ``end``."""
-    codes = np.frombuffer("\0".join(texts).encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+def _tagged(tag: str | None) -> str:
+    """The language a tag names, '' for none: 'DE', 'en-GB' and 'pt_BR' are de, en and pt."""
+    found = _TAG.match(tag.lower()) if tag else None
+    return found.group(1) if found and found.group(1) not in NO_LANGUAGE else ""
+
+
+class LanguageModel:
+    """Character n-grams of each language, from texts tagged with it; a wrong tag here and there does no harm."""
+
+    def __init__(self, counts: dict[str, np.ndarray]) -> None:
+        total = sum(int(c.sum()) for c in counts.values())
+        self.names = sorted(k for k, c in counts.items() if c.sum() >= LEAST_SHARE * total)
+        rows = [np.log((counts[k] + 0.05) / (counts[k].sum() + 0.05 * BUCKETS)) for k in self.names]
+        self.odds = np.array(rows, dtype=np.float32).reshape(len(rows), BUCKETS)
+
+    @classmethod
+    def fit(cls, documents: DataFrame, text: str, tag: str | None) -> LanguageModel:
+        if tag is None:
+            return cls({})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables: dict[str, np.ndarray] = {}
+            for batch in batches:
+                held: dict[str, list[str]] = {}
+                for t, given in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if lang := _tagged(given):
+                        held.setdefault(lang, []).append(t)
+                for lang, texts in held.items():
+                    for a in range(0, len(texts), 200):
+                        cells = _cells(_text_codes("\0".join(texts[a : a + 200])), LETTERS)
+                        tables[lang] = tables.get(lang, 0) + np.bincount(cells, minlength=BUCKETS)
+            for lang, n in tables.items():
+                cell = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cell)), pa.array(cell.astype(np.int32)), pa.array(n[cell])], names=["lang", "cell", "n"])
+
+        slim = documents.select(text, F.col(tag).cast("string")).where(F.col(text).isNotNull() & F.col(tag).isNotNull())
+        rows = dealt(slim).mapInArrow(run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+        counts: dict[str, np.ndarray] = {}
+        # at most three-letter codes x buckets rows, whatever the corpus
+        for batch in rows.toArrow().to_batches():
+            langs = np.array(batch.column(0).to_pylist())
+            cell, n = np.asarray(batch.column(1)), np.asarray(batch.column(2))
+            for lang in np.unique(langs):
+                counts.setdefault(str(lang), np.zeros(BUCKETS, dtype=np.int64))[cell[langs == lang]] = n[langs == lang]
+        return cls(counts)
+
+    def name(self, codes: np.ndarray) -> str:
+        """The language of a whole text, given as codes: the likeliest; without any tags, all texts are in one, ''."""
+        if not self.names:
+            return ""
+        cells = _cells(codes, LETTERS)
+        if not len(cells):
+            return OTHER
+        cells, n = np.unique(cells, return_counts=True)
+        odds = self.odds[:, cells] @ n.astype(np.float32) / n.sum()
+        best = int(np.argmax(odds))
+        return self.names[best] if odds[best] >= FOREIGN else OTHER
+
+
+def _count(codes: np.ndarray, mid: np.ndarray, end: np.ndarray) -> None:
+    """Adds the contexts of texts: of every character to ``mid``, of the ends of sentences and of lines but the last to ``end``."""
     after = np.append(codes[1:], np.uint64(0))
     stop = np.isin(codes, _ENDERS) & ((after == 10) | (after == 32) | (codes == 0x3002))
     ends = np.flatnonzero((codes == 10) | stop)
@@ -67,27 +116,29 @@ def _count(texts: list[str], mid: np.ndarray, end: np.ndarray) -> None:
         end[level] += np.bincount(cells[at], minlength=BUCKETS)
 
 
-def context_counts(documents: DataFrame, text: str) -> DataFrame:
+def context_counts(documents: DataFrame, text: str, languages) -> DataFrame:
     """The model's counts over all texts: (``lang``, ``level``, ``cell``, ``n_mid``, ``n_end``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        held: dict[str, list[str]] = {}
+        held: dict[str, list[np.ndarray]] = {}
         size: Counter[str] = Counter()
+        between = np.zeros(1, dtype=np.uint64)
 
         def add(lang: str) -> None:
             if lang not in tables:
                 tables[lang] = tuple(np.zeros((len(LEVELS), BUCKETS), dtype=np.int64) for _ in range(2))
-            _count(held.pop(lang), *tables[lang])
+            _count(np.concatenate(held.pop(lang)), *tables[lang])
             size[lang] = 0
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t:
-                    lang = language(t)
-                    held.setdefault(lang, []).append(t)
+                    codes = _text_codes(t)
+                    lang = languages.value.name(codes)
+                    held.setdefault(lang, []).extend((codes, between))
                     size[lang] += len(t)
-                    if size[lang] > 1_000_000:
+                    if size[lang] > 500_000:
                         add(lang)
         for lang in list(held):
             add(lang)
@@ -109,10 +160,10 @@ class EndModel:
         self.total = {lang: (mid[0].sum(), end[0].sum()) for lang, (mid, end) in tables.items()}
 
     @classmethod
-    def fit(cls, documents: DataFrame, text: str) -> EndModel:
+    def fit(cls, documents: DataFrame, text: str, languages) -> EndModel:
         tables = {}
         # at most languages x levels x buckets rows, whatever the corpus
-        for rows in context_counts(documents, text).toArrow().to_batches():
+        for rows in context_counts(documents, text, languages).toArrow().to_batches():
             langs = np.array(rows.column(0).to_pylist())
             level, cell, mid, end = (np.asarray(rows.column(i)) for i in range(1, 5))
             for lang in np.unique(langs):
@@ -126,7 +177,7 @@ class EndModel:
         """Above 0: the context is more typical of an end. The characters are taken from the last backwards, each given those behind it."""
         if lang not in self.tables or not context:
             return 0.0
-        codes = np.frombuffer(context[-LEVELS[-1] :].encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+        codes = _text_codes(context[-LEVELS[-1] :])
         (mid, end), (m0, e0) = self.tables[lang], self.total[lang]
         w, out = self.weight, 0.0
         for level, k in enumerate(LEVELS):
@@ -140,8 +191,8 @@ class EndModel:
         return float(out)
 
 
-def raw_verdict(text: str, raw: bytes) -> str:
-    """'cut', 'whole' or '' by the page itself: what follows the text's last characters there."""
+def page_verdict(text: str, raw: bytes) -> str:
+    """'cut', 'whole' or '' by the page itself: what follows the text's last characters there. For measuring the model; no verdict rests on it."""
     tail = "".join(plain(_MARK.sub("", text).rsplit("\n", 1)[-1]))[-28:]
     if len(tail) < 8:
         return ""
@@ -207,14 +258,14 @@ def _with_plates(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"repeated": F.col("f_plate").isNotNull(), "plate": plate}).drop("k_lang", "k_opener", "k_plate", "f_lang", "f_fold", "f_plate")
 
 
-def _describe(model, language_of=language):
+def _describe(model, languages):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = model.value
         for batch in batches:
             out = {c: [] for c in ("lang", "closed", "marked", "odds", "odds_end", "odds_mid", "raw_says", "opener", "n_words", "last_chars", "any_closed", "text_hash", "fold", "before", "lines")}
             for text, raw in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                lang = language_of(text)
-                if lang == "ru" and len(_UPPER.findall(text)) > 0.45 * len(_CYRILLIC.findall(text)):
+                lang = languages.value.name(_text_codes(text))
+                if not text.isascii() and len(_UPPER.findall(text)) > 0.45 * (n_letters := len(_CYRILLIC.findall(text))) and n_letters > 0.2 * len(text):
                     text = redecoded(text) or text
                 marked = _MARK.search(text)
                 body = (text[: marked.start()] if marked else text).rstrip("�")
@@ -225,10 +276,11 @@ def _describe(model, language_of=language):
                 out["lang"].append(lang)
                 out["closed"].append(closed)
                 out["marked"].append(bool(marked))
-                out["odds"].append(ends.log_odds(lang, body))
+                # an end that a false charset left unreadable says nothing
+                out["odds"].append(None if "\ufffd" in body[-LEVELS[-1] :] else ends.log_odds(lang, body))
                 out["odds_end"].append(ends.log_odds(lang, text[: inner[len(inner) // 2]]) if inner else None)
                 out["odds_mid"].append(ends.log_odds(lang, text[:middle]) if middle > 20 and text[middle - 1 : middle + 1].isalpha() else None)
-                out["raw_says"].append(raw_verdict(text, raw) if raw and not closed else "")
+                out["raw_says"].append(page_verdict(text, raw) if raw and not closed else "")
                 out["opener"].append(_opener(last))
                 out["n_words"].append(len(text.split()))
                 out["last_chars"].append(len(last))
@@ -245,6 +297,11 @@ def _describe(model, language_of=language):
     return run
 
 
+def _piled_up(n: Column, expected: Column) -> Column:
+    """Whether ``n`` texts are far more than ``expected``, in density and by the Poisson tail (its Chernoff bound), so that the same share of a source counts in tables of any size."""
+    return (n > PILE_DENSITY * expected) & (n * F.log(n / expected) - n + expected > PILE_ODDS)
+
+
 def _at_limit(rows: DataFrame) -> DataFrame:
     """``rows`` with ``at_limit``: whether the text's length is one at which its source has far more texts than at lengths around it."""
     for measure, near, around in (("n_chars", 6, 90), ("n_bytes", 3, 90), ("n_words", 3, 40)):
@@ -252,63 +309,65 @@ def _at_limit(rows: DataFrame) -> DataFrame:
         w = Window.partitionBy("source").orderBy(measure)
         counts = counts.withColumns({"close": F.sum("n").over(w.rangeBetween(-near, near)), "wide": F.sum("n").over(w.rangeBetween(-around, around))})
         inside, outside = 2 * near + 1, 2 * (around - near)
-        peak = (F.col("close") >= 8) & (F.col("close") / inside > 6 * (F.col("wide") - F.col("close") + 1) / outside)
+        peak = _piled_up(F.col("close"), (F.col("wide") - F.col("close") + 1) * inside / outside)
         peaks = counts.where(peak).select(F.col("source").alias("s"), F.col(measure).alias("m"), F.lit(True).alias(f"peak_{measure}"))
         rows = rows.join(peaks, rows["source"].eqNullSafe(peaks["s"]) & (rows[measure] == peaks["m"]), "left").drop("s", "m")
     return rows.withColumn("at_limit", F.coalesce("peak_n_chars", "peak_n_bytes", "peak_n_words", F.lit(False)))
 
 
-def describe_ends(documents: DataFrame, ident: str = "doc_id", source: str = "source", text: str = "text", raw: str | None = "raw") -> DataFrame:
+def describe_ends(documents: DataFrame, ident: str = "doc_id", source: str = "source", text: str = "text", lang: str | None = "lang", raw: str | None = None) -> DataFrame:
     """Every document with a text, and whether it is ``truncated``, with the grounds of that verdict.
 
-    A backward character n-gram model is trained over all texts: contexts before ends of
-    sentences and lines against contexts before any character. A text's last context
-    gives its log-odds; below its language's threshold, which lies between those of known
-    ends and known middles of words, it is a candidate, as is a text whose end is
-    marked ('…', '[...]') or that has a length at which its source piles up; these
-    shift the odds, as does a short last line whose first word opens lines that never
-    end in a full stop (menus, footers, tags). A candidate is no case if its last line
-    stands whole in other texts (menus, notices, teasers). If the page as stored goes on behind the text, it is one, and if the page's own block
-    ends there, it is none.
+    Languages are told apart by character n-grams, counted over the texts whose ``lang``
+    tag names one. For each language a backward character n-gram model is trained over
+    all texts: contexts before ends of sentences and lines against contexts before any
+    character. A text's last context gives its log-odds; below the threshold of its
+    language and of this column, which lies between those of known ends and known middles
+    of words, it is a candidate. An end mark ('…', '[...]') and a length at which its source
+    piles up shift the odds, and so does a short last line whose first word opens lines that
+    never end in a full stop (menus, footers, tags). A candidate is no case if its last line
+    stands whole in other texts (menus, notices, teasers).
 
     Result: ``ident``, ``source``, ``lang`` (detected), ``truncated``, ``odds``,
-    ``threshold``, ``at_limit``, ``marked``, ``raw_says``. Null and empty texts give no
-    row; a null source is a source of its own; nulls in ``raw`` leave the verdict to the
-    model. Ids need not be unique. An empty table gives no rows.
+    ``threshold``, ``at_limit``, ``marked``, ``raw_says``. ``odds`` is null where the end
+    is unreadable; such a text is judged by marks and limits only. ``raw_says`` tells whether the page
+    as stored, if ``raw`` names one, goes on behind the text ('cut', 'whole' or ''); it has
+    no part in the verdict. Null and empty texts give no row; a null source is a source
+    of its own; without tags all texts are one language; a text like none of them
+    ('other') is only judged by marks and limits. Ids need not be unique. An empty table
+    gives no rows.
     """
     spark = documents.sparkSession
-    model = spark.sparkContext.broadcast(EndModel.fit(documents, text))
+    languages = spark.sparkContext.broadcast(LanguageModel.fit(documents, text, lang if lang in documents.columns else None))
+    model = spark.sparkContext.broadcast(EndModel.fit(documents, text, languages))
     has = F.col(text).isNotNull() & (F.length(text) > 0)
     kind = documents.schema[ident].dataType.simpleString()
-    # the page is read again only where the text does not end in a full stop
-    page = F.when(~F.col(text).rlike("[.!?。][\"”»]?$"), F.col(raw)) if raw else F.lit(None).cast("binary")
     slim = documents.where(has).select(
-        F.col(ident).alias("__tm_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("__tm_text"), page.alias("__tm_page"),
+        F.col(ident).alias("__tm_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("__tm_text"), (F.col(raw) if raw else F.lit(None).cast("binary")).alias("__tm_page"),
         F.length(text).cast("long").alias("n_chars"), F.octet_length(text).cast("long").alias("n_bytes"),
     )
     schema = f"__tm_id {kind}, source string, lang string, closed boolean, marked boolean, odds double, odds_end double, odds_mid double, raw_says string, opener string, n_words long, last_chars long, any_closed boolean, text_hash long, fold long, before long, lines array<struct<opener: string, fold: long, closed: boolean>>, n_chars long, n_bytes long"
-    rows = written(dealt(slim).mapInArrow(_describe(model), schema), "ends")
+    rows = written(dealt(slim).mapInArrow(_describe(model, languages), schema), "ends")
 
     cuts = rows.groupBy(F.col("lang").alias("__tm_l")).agg((F.percentile_approx("odds_end", 0.03, 1000) * 0.5 + F.percentile_approx("odds_mid", 0.9, 1000) * 0.5).alias("threshold"))
     judged = _with_plates(_at_limit(rows))
     judged = judged.join(F.broadcast(cuts), F.col("lang") == F.col("__tm_l"), "left").drop("__tm_l")
-    shifted = F.col("odds") - F.when(F.col("at_limit"), 6.0).otherwise(0.0) - F.when(F.col("marked"), 6.0).otherwise(0.0) + F.when(F.col("plate"), PLATE_ODDS).otherwise(0.0)
+    shifted = F.coalesce("odds", "threshold", F.lit(0.0)) - F.when(F.col("at_limit"), 6.0).otherwise(0.0) - F.when(F.col("marked"), 6.0).otherwise(0.0) + F.when(F.col("plate"), PLATE_ODDS).otherwise(0.0)
     # of a text in no known language the model knows too little to speak alone
-    known = (F.col("lang") != "other") | F.col("at_limit") | F.col("marked")
+    known = (F.col("lang") != OTHER) | F.col("at_limit") | F.col("marked")
     candidate = ~F.col("closed") & known & (shifted < F.coalesce("threshold", F.lit(0.0)))
     article = ~F.col("repeated") & (F.col("any_closed") | (F.col("last_chars") > 70))
-    truncated = candidate & article & (F.col("raw_says") != "whole") | ~F.col("closed") & (F.col("raw_says") == "cut")
-    return judged.withColumn("truncated", truncated).select(F.col("__tm_id").alias(ident), "source", "lang", "truncated", "odds", "threshold", "at_limit", "marked", "raw_says")
+    return judged.withColumn("truncated", candidate & article).select(F.col("__tm_id").alias(ident), "source", "lang", "truncated", "odds", "threshold", "at_limit", "marked", "raw_says")
 
 
-def truncated_texts(documents: DataFrame, ident: str = "doc_id", source: str = "source", text: str = "text", raw: str | None = "raw") -> DataFrame:
+def truncated_texts(documents: DataFrame, ident: str = "doc_id", source: str = "source", text: str = "text", lang: str | None = "lang") -> DataFrame:
     """Ids of the texts that were cut off; see ``describe_ends``."""
-    return describe_ends(documents, ident, source, text, raw).where("truncated").select(ident)
+    return describe_ends(documents, ident, source, text, lang).where("truncated").select(ident)
 
 
-def truncation_report(documents: DataFrame, ident: str = "doc_id", source: str = "source", text: str = "text", raw: str | None = "raw") -> DataFrame:
+def truncation_report(documents: DataFrame, ident: str = "doc_id", source: str = "source", text: str = "text", lang: str | None = "lang") -> DataFrame:
     """How often each source truncates: texts, truncated texts, their share, and those at a length limit."""
-    ends = describe_ends(documents, ident, source, text, raw)
+    ends = describe_ends(documents, ident, source, text, lang)
     return ends.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_texts"), F.count_if("truncated").alias("n_truncated"),
         F.round(F.avg(F.col("truncated").cast("double")), 6).alias("truncated_share"), F.count_if(F.col("truncated") & F.col("at_limit")).alias("n_at_limit"),
