@@ -53,7 +53,9 @@ class SpikeLimits:
     steps, top, power: features are taken in ``steps`` steps a unit, up to ``top`` units, to
     that power, so that what lies within the usual range is small beside what does not.
     trees, psi: trees of a forest, and readings drawn for each out of ``trees * psi`` of
-    the source that are drawn by a hash, all of them if there are fewer. quiet: points
+    the source that are drawn by a hash, all of them if there are fewer. trim: share of the
+    drawn that stand out most and are left out, since a forest that has seen a source's
+    spikes does not isolate them. quiet: points
     within the usual range added to each tree, so that a source without variation does not
     isolate the slightest. score: isolation score from which a reading is implausible.
 
@@ -80,8 +82,9 @@ class SpikeLimits:
     power: int = 3
     trees: int = 16
     psi: int = 48
+    trim: float = 0.1
     quiet: int = 16
-    score: float = 0.83
+    score: float = 0.86
     segment: int = 50_000
 
     @property
@@ -388,6 +391,8 @@ def _features(raw: Raw, p_field: int, facts: Facts, lim: SpikeLimits) -> np.ndar
 
 def _fit(features: np.ndarray, seed: int, lim: SpikeLimits) -> Forest:
     rng = np.random.default_rng(seed)
+    usual = np.argsort(features[:, [0, 1, 3]].max(axis=1), kind="stable")[: max(1, int(np.ceil(len(features) * (1 - lim.trim))))]
+    features = features[usual]
     draw = rng.integers(0, len(features), (lim.trees, min(lim.psi, len(features))))
     quiet = rng.random((lim.trees, lim.quiet, features.shape[1]), dtype=np.float32)
     return Forest(np.concatenate([_raised(features[draw], lim), quiet], axis=1), seed)
