@@ -1,4 +1,4 @@
-"""Queries over the trading tables for the data-processing operators (p1 to p5)."""
+"""Queries over the trading tables for the data-processing operators (p1, p2, p4, p5)."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.changefeed import apply_changes
 from tidemark.operators.grid import regular_grid
-from tidemark.operators.nearest import nearest_by_time
 from tidemark.operators.ordered import dominant_keys, per_key_profile
 from tidemark.operators.spikes import implausible_readings
 from tidemark.sources.tables import table
@@ -40,21 +39,6 @@ def p2_book(spark: SparkSession, d: str) -> DataFrame:
     return _book(spark, d)
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    top = table(spark, d, "l2_updates").where("kind = 1")
-    wanted = table(spark, d, "trades").select(*TICKER, F.lit(0).alias("is_bar"), F.col("timestamp_us").alias("t"), F.col("seq").alias("id"))
-    wanted = wanted.unionByName(table(spark, d, "ohlc").select(*TICKER, F.lit(1).alias("is_bar"), F.col("timestamp").alias("t"), F.col("bar_id").alias("id")))
-    # one pass for both feeds: the id carries its feed in the lowest bit
-    packed = wanted.withColumn("id", F.col("id") * 2 + F.col("is_bar"))
-    near = nearest_by_time(packed, top, TICKER, "t", "id", "timestamp", "seq", 1_500_000)
-    bar = F.pmod("left_id", F.lit(2)) == 1
-    return near.select(
-        F.when(bar, "ohlc").otherwise("trade").alias("feed"),
-        F.shiftright("left_id", 1).alias("row_id"),
-        F.col("right_id").alias("quote_seq"),
-    )
-
-
 def _valid_trades(spark: SparkSession, d: str) -> DataFrame:
     ok = "timestamp_us IS NOT NULL AND price > 0 AND size > 0 AND NOT isnan(price) AND NOT isnan(size)"
     return table(spark, d, "trades").where(ok).select(*TICKER, "timestamp_us", "seq", "price", "size")
@@ -99,7 +83,7 @@ def p5_profile(spark: SparkSession, d: str) -> DataFrame:
     return per_key_profile(table(spark, d, "l2_updates"), ["ticker_id"], ["seq"], "timestamp", "price")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_book, p3_found, p4_found, p4_grid, p5_found, p5_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_book, p4_found, p4_grid, p5_found, p5_profile)}
 
 _BOOK_SQL = """
     WITH once AS (
@@ -130,21 +114,6 @@ _GRID_DATA = """
 ORACLES = {
     "p2_book": _BOOK_SQL,
     "p2_found": f"SELECT recording_id, ticker_id, side, position, seq FROM ({_BOOK_SQL})",
-    "p3_found": """
-        WITH q AS (SELECT recording_id, ticker_id, timestamp AS t, min(seq) AS seq FROM l2_updates WHERE kind = 1 GROUP BY ALL),
-        w AS (
-            SELECT 'trade' AS feed, seq AS row_id, recording_id, ticker_id, timestamp_us AS t FROM trades WHERE timestamp_us IS NOT NULL
-            UNION ALL SELECT 'ohlc', bar_id, recording_id, ticker_id, timestamp FROM ohlc WHERE timestamp IS NOT NULL
-        ), b AS (
-            SELECT w.*, q.t AS bt, q.seq AS bs FROM w ASOF LEFT JOIN q
-                ON w.recording_id = q.recording_id AND w.ticker_id = q.ticker_id AND w.t >= q.t
-        ), f AS (
-            SELECT b.*, q.t AS ft, q.seq AS fs FROM b ASOF LEFT JOIN q
-                ON b.recording_id = q.recording_id AND b.ticker_id = q.ticker_id AND b.t <= q.t
-        )
-        SELECT feed, row_id, CASE WHEN bt IS NOT NULL AND t - bt <= 1500000 AND (ft IS NULL OR t - bt <= ft - t) THEN bs ELSE fs END AS quote_seq
-        FROM f WHERE t - bt <= 1500000 OR ft - t <= 1500000
-    """,
     "p4_found": f"""
         WITH d AS (
             SELECT 'trade' AS feed, recording_id, ticker_id, b FROM ({_GRID_DATA})
