@@ -24,23 +24,43 @@ def numbered(bars: DataFrame, s: Series) -> DataFrame:
     return bars.withColumn("__tm_row", F.row_number().over(s.all()) - 1)
 
 
-def permute_bars(bars: DataFrame, s: Series, permutations: int, start_index: int = 0, extra: Sequence[str] = ()) -> DataFrame:
+EXTRA_MODES = ("permute", "preserve", "sync_close")
+
+
+def unaligned_series(bars: DataFrame, s: Series) -> DataFrame:
+    """Order values that some series of the table lack or repeat, with ``n_rows`` and ``n_series``: none if all share one index, as a common shuffle needs."""
+    n = bars.select(*s.keys).distinct().count()  # a number
+    held = bars.groupBy(*s.order[:1]).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(F.struct(*s.keys)).alias("n_series"))
+    return held.where((F.col("n_rows") != n) | (F.col("n_series") != n))
+
+
+def permute_bars(bars: DataFrame, s: Series, permutations: int, start_index: int = 0, extra: Sequence[str] = (), extra_mode: str = "permute", aligned: bool = False) -> DataFrame:
     """``permutations`` series for each one, with shuffled moves: ``perm_id`` from 1, keys, order columns, open, high, low, close.
 
     Rows up to ``start_index`` stay. After it the moves from a close to the next open are
     shuffled in one way and the moves inside a bar in another, and chained on again, so
-    that the last close is the original one. ``extra`` columns keep their own log moves,
-    shuffled like the moves inside bars. Series of one table are shuffled alike, row
-    number for row number, so what they have in common stays.
+    that the last close is the original one. Series of one table are shuffled alike, row
+    number for row number, so what they have in common stays; ``aligned`` raises unless
+    they share one index (``unaligned_series``).
+
+    ``extra`` columns by ``extra_mode``: 'permute' shuffles their own log moves like the
+    moves inside bars (zeros and nulls are missing, a move from or to one is 0, negatives count
+    as 1e-10; a missing value at the start stays missing), 'preserve' leaves them as they were,
+    'sync_close' too but for ``futures``, which becomes the permuted close.
 
     Each permuted close is the start's log plus a running sum of moves; the moves come
     by a join on the permuted row number, whose two sides are hash-partitioned alike.
     """
+    if extra_mode not in EXTRA_MODES:
+        raise ValueError(f"extra_mode must be one of {EXTRA_MODES}")
+    if aligned and (off := unaligned_series(bars, s).head(1)):
+        raise ValueError(f"series differ in their index, at {off[0][0]}")
+    columns, shuffled = list(extra), list(extra) if extra_mode == "permute" else []
     rows = numbered(bars, s)
     prev = F.lag(F.log("close")).over(s.all())
     moves = rows.withColumns({"__tm_o": F.log("open") - prev, "__tm_c": F.log("close") - F.log("open"), "__tm_h": F.log("high") - F.log("open"), "__tm_l": F.log("low") - F.log("open")})
-    for c in extra:
-        safe = F.log(F.greatest(F.col(c), F.lit(1e-10)))
+    for c in shuffled:
+        safe = _positive_log(c)
         moves = moves.withColumn(f"__tm_x_{c}", F.coalesce(safe - F.lag(safe).over(s.all()), F.lit(0.0)))
     moves = moves.where(F.col("__tm_row") > start_index)
     ids = bars.sparkSession.range(1, permutations + 1).withColumnRenamed("id", PERM)
@@ -50,22 +70,29 @@ def permute_bars(bars: DataFrame, s: Series, permutations: int, start_index: int
     inside = copies.withColumn("__tm_slot", F.row_number().over(by.orderBy(digest_order(s, "in"), "__tm_row")) + start_index)
     between = copies.withColumn("__tm_slot", F.row_number().over(by.orderBy(digest_order(s, "out"), "__tm_row")) + start_index)
     key = [PERM, *s.keys, "__tm_slot"]
-    both = inside.select(*key, "__tm_c", "__tm_h", "__tm_l", *(f"__tm_x_{c}" for c in extra)).join(between.select(*key, "__tm_o"), key)
-    base = rows.where(F.col("__tm_row") == start_index).select(*s.keys, F.log("close").alias("__tm_base"), *(F.log(F.greatest(F.col(c), F.lit(1e-10))).alias(f"__tm_b_{c}") for c in extra))
+    both = inside.select(*key, "__tm_c", "__tm_h", "__tm_l", *(f"__tm_x_{c}" for c in shuffled)).join(between.select(*key, "__tm_o"), key)
+    base = rows.where(F.col("__tm_row") == start_index).select(*s.keys, F.log("close").alias("__tm_base"), *(_positive_log(c).alias(f"__tm_b_{c}") for c in shuffled))
     upto = Window.partitionBy(PERM, *s.keys).orderBy("__tm_slot").rowsBetween(Window.unboundedPreceding, 0)
     path = both.join(base, s.keys).withColumn("__tm_close", F.col("__tm_base") + F.sum(F.col("__tm_o") + F.col("__tm_c")).over(upto))
     opened = F.col("__tm_close") - F.col("__tm_c")
     path = path.select(
         *key, F.exp(opened).alias("open"), F.exp(opened + F.col("__tm_h")).alias("high"), F.exp(opened + F.col("__tm_l")).alias("low"), F.exp("__tm_close").alias("close"),
-        *(F.exp(F.col(f"__tm_b_{c}") + F.sum(f"__tm_x_{c}").over(upto)).alias(c) for c in extra),
+        *(F.exp(F.col(f"__tm_b_{c}") + F.sum(f"__tm_x_{c}").over(upto)).alias(c) for c in shuffled),
     )
-    when = rows.select(*s.keys, F.col("__tm_row").alias("__tm_slot"), *s.order)
+    when = rows.select(*s.keys, F.col("__tm_row").alias("__tm_slot"), *s.order, *(c for c in columns if c not in shuffled))
     changed = path.join(when, [*s.keys, "__tm_slot"])
+    if extra_mode == "sync_close" and "futures" in columns:
+        changed = changed.withColumn("futures", F.col("close"))
     kept = rows.where(F.col("__tm_row") <= start_index).crossJoin(F.broadcast(ids)).withColumnRenamed("__tm_row", "__tm_slot")
     cols = [PERM, *s.keys, *s.order, "open", "high", "low", "close", *extra]
     return changed.select(cols).unionByName(kept.select(cols))
 
 
+def _positive_log(c: str) -> Column:
+    x = F.when((F.col(c) != 0) & ~F.isnan(c), F.col(c))
+    return F.when(x.isNotNull(), F.log(F.greatest(x, F.lit(1e-10))))
+
+
 def permute_rows(bars: DataFrame, s: Series, permutations: int, start_index: int = 0) -> DataFrame:
     """Whole rows after ``start_index`` shuffled, each series in its own way; the order columns stay in place."""
     rows = numbered(bars, s)
@@ -109,7 +136,8 @@ def bootstrap_blocks(bars: DataFrame, s: Series, permutations: int, start_index:
 def simulate_ar1(bars: DataFrame, s: Series, permutations: int, start_index: int = 0, seed: int = 1000) -> DataFrame:
     """Series whose basis (futures over spot) is simulated by an AR(1) model fitted on the first third, 50 rows at least, or up to ``start_index``.
 
-    A recursion with drawn residuals: one task per permutation and series, in NumPy.
+    A permutation's residuals are drawn and run through the recursion in one task per
+    permutation and series, 64 rows at a time.
     """
     keys, order = s.keys, s.order
     ids = bars.sparkSession.range(1, permutations + 1).withColumnRenamed("id", PERM)
@@ -127,11 +155,8 @@ def simulate_ar1(bars: DataFrame, s: Series, permutations: int, start_index: int
         phi = float(np.corrcoef(centred[1:], centred[:-1])[0, 1]) if centred.std() > 0 else 0.0
         left = centred[1:] - phi * centred[:-1]
         shocks = np.random.default_rng(seed + int(pdf[PERM].iloc[0])).choice(left, n - train)
-        path = centred[-1]
         made = basis.copy()
-        for i, e in enumerate(shocks):
-            path = phi * path + e
-            made[train + i] = mean + path
+        made[train:] = mean + autoregression(shocks, phi, centred[-1])
         close = pdf.spot * (1 + made)
         scale = close / pdf.close
         return pdf.assign(open=pdf.open * scale, high=pdf.high * scale, low=pdf.low * scale, close=close, futures=close)
@@ -139,6 +164,23 @@ def simulate_ar1(bars: DataFrame, s: Series, permutations: int, start_index: int
     return copies.groupBy(PERM, *keys).applyInPandas(simulate, copies.schema)
 
 
+def autoregression(shocks: np.ndarray, phi: float, start: float, block: int = 64) -> np.ndarray:
+    """y[i] = phi * y[i-1] + shocks[i] from y[-1] = ``start``: within blocks by the powers of phi, all blocks at once, and then from block to block."""
+    n = len(shocks)
+    blocks = -(-n // block)
+    e = np.zeros(blocks * block)
+    e[:n] = shocks
+    lags = np.arange(block)[:, None] - np.arange(block)
+    powers = np.where(lags >= 0, float(phi) ** np.maximum(lags, 0), 0.0)
+    inner = e.reshape(blocks, block) @ powers.T
+    out, last = np.empty_like(inner), start
+    rise = float(phi) ** np.arange(1, block + 1)
+    for k in range(blocks):
+        out[k] = inner[k] + rise * last
+        last = out[k, -1]
+    return out.ravel()[:n]
+
+
 def random_orders(spark: SparkSession, rows: int, permutations: int, seed: int = 1000) -> DataFrame:
     """(``perm_id``, ``slot``, ``source``): NumPy's permutations of ``rows`` for the seeds ``seed + perm_id``."""
 

@@ -26,16 +26,22 @@ def entries_before_events(labels: DataFrame, event_time: str, entry_time: str) -
     return labels.where(F.col(entry_time).isNull() | (F.col(entry_time) < F.col(event_time)))
 
 
-def future_leaks(data: DataFrame, pipeline: Callable[[DataFrame], DataFrame], keys: Sequence[str], time: str, cutoff, columns: Sequence[str], compare: Sequence[str], rtol: float = 1e-5, atol: float = 1e-8) -> DataFrame:
+def future_leaks(data: DataFrame, pipeline: Callable[[DataFrame], DataFrame], keys: Sequence[str], time: str, cutoff, columns: Sequence[str], compare: Sequence[str] | None = None, rtol: float = 1e-5, atol: float = 1e-8) -> DataFrame:
     """Outputs up to ``cutoff`` that change when the inputs after it do: a causal pipeline gives no row.
 
     The ``columns`` of later rows are scaled by factors of 1.5 to 2.5 and raised by 1.
-    ``pipeline`` must keep ``keys`` and ``time``, together unique, and give ``compare``.
+    ``pipeline`` must keep ``keys`` and ``time``, together unique, and give ``compare``; left
+    out, these are all numeric columns that both runs give.
     """
     late = F.col(time) > F.lit(cutoff)
     changed = data.withColumns({c: F.when(late, F.col(c) * (1.5 + F.pmod(F.xxhash64(time, *keys), F.lit(100)) / 100) + 1).otherwise(F.col(c)) for c in columns})
-    a = pipeline(data).where(F.col(time) <= F.lit(cutoff)).select(*keys, time, *compare)
-    b = pipeline(changed).where(F.col(time) <= F.lit(cutoff)).select(*keys, time, *(F.col(c).alias(f"__tm_{c}") for c in compare))
+    before, after = pipeline(data), pipeline(changed)
+    if compare is None:
+        numeric = ("tinyint", "smallint", "int", "bigint", "float", "double")
+        common = set(after.columns) - {*keys, time}
+        compare = [c for c, t in before.dtypes if c in common and (t in numeric or t.startswith("decimal"))]
+    a = before.where(F.col(time) <= F.lit(cutoff)).select(*keys, time, *compare)
+    b = after.where(F.col(time) <= F.lit(cutoff)).select(*keys, time, *(F.col(c).alias(f"__tm_{c}") for c in compare))
     joined = a.join(b, [*keys, time], "full")
     bad = F.lit(False)
     for c in compare:

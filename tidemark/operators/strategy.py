@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import itertools
 import json
 from collections.abc import Callable, Mapping, Sequence
@@ -84,7 +85,32 @@ class Registry:
         return sorted(self._known)
 
     def to_json(self) -> str:
-        return json.dumps({n: {"grid": {k: list(v) for k, v in s.grid.items()}, "holds": s.holds} for n, s in self._known.items()}, sort_keys=True)
+        """Each strategy's function, as module and name, its grid and whether it holds. One defined on the spot has no function to name and is left out."""
+        kept = {}
+        for n, s in self._known.items():
+            name = getattr(s.signal, "__qualname__", "")
+            if name.isidentifier():
+                kept[n] = {"module": s.signal.__module__, "function": name, "grid": {k: list(v) for k, v in s.grid.items()}, "holds": s.holds}
+        return json.dumps(kept, sort_keys=True, indent=2)
+
+    def save(self, path: str) -> None:
+        with open(path, "w") as file:
+            file.write(self.to_json())
+
+    @classmethod
+    def load(cls, path: str | None = None) -> Registry:
+        """The strategies of a file written by ``save``; the built-in ones without a path. A file that is missing, or no such file, raises."""
+        out = cls()
+        if path is None:
+            for s in REGISTRY._known.values():
+                out.register(s)
+            return out
+        with open(path) as file:
+            known = json.load(file)
+        for name, d in known.items():
+            signal = getattr(importlib.import_module(d["module"]), d["function"])
+            out.register(Strategy(name.lower(), signal, d["grid"], d["holds"]))
+        return out
 
 
 REGISTRY = Registry()

@@ -45,6 +45,63 @@ def trade_table(bars: DataFrame, s: Series, signal: str = "signal", threshold: f
     )
 
 
+def trade_pnl_curve(bars: DataFrame, s: Series, signal: str = "signal", threshold: float = 0.0) -> DataFrame:
+    """Keys, order columns and ``cum_pnl``: profit of the trades left so far, booked at each one's exit bar; 0 before the first."""
+    time = s.order[0]
+    exits = trade_table(bars, s, signal, threshold).groupBy(*s.keys, F.col("exit_time").alias(time)).agg(F.sum("pnl").alias("__tm_pnl"))
+    first = Window.partitionBy(*s.keys, time).orderBy(*s.order)
+    booked = bars.select(*s.keys, *s.order).withColumn("__tm_1", F.row_number().over(first)).join(exits, [*s.keys, time], "left")
+    gained = F.when(F.col("__tm_1") == 1, F.coalesce("__tm_pnl", F.lit(0.0))).otherwise(0.0)
+    return booked.withColumn("cum_pnl", F.sum(gained).over(s.upto())).select(*s.keys, *s.order, "cum_pnl")
+
+
+def equity_curve(bars: DataFrame, s: Series, signal: str = "signal") -> DataFrame:
+    """Keys, order columns and ``equity``: summed log returns under the signal of the bar before."""
+    done = with_strategy_returns(bars, s, signal)
+    return done.withColumn("equity", F.sum("strategy_ret").over(s.upto())).select(*s.keys, *s.order, "equity")
+
+
+def last_signals(bars: DataFrame, s: Series, signal: str = "signal") -> DataFrame:
+    """The signal of each series' last bar."""
+    return bars.groupBy(*s.keys).agg(F.max_by(signal, F.struct(*s.order)).alias(signal))
+
+
+def paper_bars(bars: DataFrame, s: Series, target: str = "target", cost_bps: float = 1.0) -> DataFrame:
+    """``bars`` with ``held`` (the target decided at the bar before), ``flip`` (change of what is held), ``gross`` and ``net`` profit in price points.
+
+    A flip costs ``cost_bps`` of the close for each unit. Targets missing count as 0.
+    """
+    held = F.coalesce(F.lag(target).over(s.all()), F.lit(0.0)).cast("double")
+    out = bars.withColumn("held", held)
+    out = out.withColumn("flip", F.abs(F.col("held") - F.coalesce(F.lag("held").over(s.all()), F.lit(0.0))))
+    out = out.withColumn("gross", F.col("held") * F.coalesce(F.col("close") - F.lag("close").over(s.all()), F.lit(0.0)))
+    return out.withColumn("net", F.col("gross") - F.col("flip") * F.lit(cost_bps / 1e4) * F.col("close"))
+
+
+def paper_fills(papered: DataFrame, s: Series) -> DataFrame:
+    """The journal of ``paper_bars``: keys, order columns, ``side``, ``price``, ``target_position``, a row for each flip."""
+    side = F.when(F.col("held") > 0, "LONG").when(F.col("held") < 0, "SHORT").otherwise("FLAT")
+    return papered.where("flip > 0").select(*s.keys, *s.order, side.alias("side"), F.col("close").alias("price"), F.col("held").alias("target_position"))
+
+
+def paper_summary(papered: DataFrame, s: Series) -> DataFrame:
+    """Per series: ``n_bars``, ``n_flips``, ``gross_pnl``, ``net_pnl``, ``win_rate`` (percent of bars with a result other than 0; 0 if none) and ``sharpe`` per bar by the population deviation (0 without one)."""
+    net = F.col("net")
+    active, dev = F.count_if(net != 0), F.stddev_pop(net)
+    return papered.groupBy(*s.keys).agg(
+        F.count(F.lit(1)).alias("n_bars"), F.count_if(F.col("flip") > 0).alias("n_flips"), F.sum("gross").alias("gross_pnl"), F.sum("net").alias("net_pnl"),
+        F.when(active > 0, F.count_if(net > 0) * 100.0 / F.when(active > 0, active)).otherwise(0.0).alias("win_rate"),
+        F.when(dev > 0, F.avg(net) / F.when(dev > 0, dev)).otherwise(0.0).alias("sharpe"),
+    )
+
+
+def latest_pnl(reports: DataFrame, group: list[str], ticker: str, order: str, realized: str, unrealized: str) -> DataFrame:
+    """Total realised and unrealised profit of each group: of each ticker's latest report, summed; ticker -1 is none."""
+    last = F.max_by(F.struct(realized, unrealized), order)
+    per = reports.where((F.col(ticker) != -1) & F.col(order).isNotNull()).groupBy(*group, ticker).agg(last.alias("__tm_l"))
+    return per.groupBy(*group).agg(F.count(F.lit(1)).alias("n_tickers"), F.sum(f"__tm_l.{realized}").alias("realized"), F.sum(f"__tm_l.{unrealized}").alias("unrealized"))
+
+
 def _longest(df: DataFrame, keys: list[str], order: list[str], flag: Column, out: str) -> DataFrame:
     """Longest run of rows with ``flag``, per key."""
     w = Window.partitionBy(*keys).orderBy(*order)

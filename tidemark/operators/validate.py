@@ -19,31 +19,51 @@ def split_holdout(bars: DataFrame, s: Series, months: int) -> DataFrame:
     return bars.join(last, s.keys).withColumn("is_holdout", F.col(time) >= start).drop("__tm_last")
 
 
+def default_windows(rows: int) -> tuple[int, int]:
+    """(training window, step) for a series of so many rows: a third of them, 20 000 at most; a sixth of that, but no less than a twentieth of the rows between 10 and 1000."""
+    lookback = min(rows // 3, 20_000)
+    return lookback, max(lookback // 6, min(max(rows // 20, 10), 1000))
+
+
+def picked_signal(bars: DataFrame, s: Series, strategy: Strategy, chosen: DataFrame) -> DataFrame:
+    """``bars`` with the ``signal`` of the combination that ``chosen`` (keys, ``param_id``) names for each series; all combinations are columns of one pass."""
+    combos = strategy.combinations()
+    cols = [f"__tm_r{i}" for i in range(len(combos))]
+    whole = bars.withColumns({c: strategy.signal(s, **p) for c, p in zip(cols, combos, strict=True)})
+    if strategy.holds:
+        whole = whole.withColumns({c: s.fill(c) for c in cols})
+    signal = F.coalesce(*(F.when(F.col("param_id") == i, F.col(c)) for i, c in enumerate(cols)))
+    return whole.join(chosen.select(*s.keys, "param_id"), s.keys).withColumn("signal", signal).select(*bars.columns, "signal")
+
+
 def hybrid_walk_forward(bars: DataFrame, s: Series, strategy: Strategy, lookback: int, step: int, holdout_months: int) -> DataFrame:
     """Walk-forward on all but the holdout, and the parameters it chose most often, frozen, on the holdout.
 
-    Per series: ``param_id``, ``n_windows`` (that chose it), ``dev_return`` (out of sample), ``holdout_return``,
-    ``degradation_pct`` (of the return per bar; null without a development return) and ``verdict``: 'severe' above
-    50, 'moderate' above 25, 'better' below 0, else 'slight'. Signals on the holdout are those over
-    the whole series, which for causal signals equals computing them bar by bar.
+    Per series: ``param_id``, ``n_windows`` (that chose it) and, with the prefixes ``dev_``
+    (rows after the first training window) and ``holdout_``, ``profit_factor``, ``total_pnl``,
+    ``total_trades`` and ``win_rate`` of the trades and ``return`` (summed bar returns), each
+    part taken by itself; ``degradation_pct`` of the profit factor, null unless both are above 0
+    and the first is finite, and ``verdict``: 'severe' above 50, 'moderate' above 25,
+    'better' below 0, else 'acceptable'; null without a degradation. Signals on the
+    holdout are those over the whole series, which for causal signals equals computing
+    them bar by bar.
     """
     split = split_holdout(bars, s, holdout_months)
     out, choices = walk_forward(split.where("NOT is_holdout"), s, strategy, lookback, step)
-    dev = with_strategy_returns(out, s).where("win_id IS NOT NULL").groupBy(*s.keys).agg(F.sum("strategy_ret").alias("dev_return"), F.count(F.lit(1)).alias("__tm_dn"))
     modal = modal_parameters(choices, s.keys)
-    combos = strategy.combinations()
+    dev = out.where("win_id IS NOT NULL").drop("win_id")
+    held = picked_signal(split, s, strategy, modal).where("is_holdout")
     parts = []
-    for i, params in enumerate(combos):
-        done = with_strategy_returns(strategy.apply(split, s, **params), s).where("is_holdout")
-        parts.append(done.groupBy(*s.keys).agg(F.sum("strategy_ret").alias("holdout_return"), F.count(F.lit(1)).alias("__tm_hn")).withColumn("param_id", F.lit(i)))
-    held = parts[0]
-    for p in parts[1:]:
-        held = held.unionByName(p)
-    both = modal.join(dev, s.keys).join(held, [*s.keys, "param_id"])
-    rate_dev, rate_held = F.try_divide("dev_return", "__tm_dn"), F.try_divide("holdout_return", "__tm_hn")
-    drop = F.when(F.col("dev_return") != 0, (rate_dev - rate_held) / F.abs(rate_dev) * 100)
-    verdict = F.when(F.col("degradation_pct") > 50, "severe").when(F.col("degradation_pct") > 25, "moderate").when(F.col("degradation_pct") < 0, "better").otherwise("slight")
-    return both.withColumn("degradation_pct", drop).withColumn("verdict", verdict).drop("__tm_dn", "__tm_hn")
+    for name, part in (("dev", dev), ("holdout", held)):
+        metrics = performance(part, s).select(*s.keys, *(F.col(c).alias(f"{name}_{c}") for c in ("profit_factor", "total_pnl", "total_trades", "win_rate")))
+        total = with_strategy_returns(part, s).groupBy(*s.keys).agg(F.sum("strategy_ret").alias(f"{name}_return"))
+        parts.append(metrics.join(total, s.keys))
+    both = modal.join(parts[0], s.keys).join(parts[1], s.keys)
+    before, after = F.col("dev_profit_factor"), F.col("holdout_profit_factor")
+    drop = F.when((before > 0) & (after > 0) & (before < float("inf")), (before - after) / before * 100)
+    x = F.col("degradation_pct")
+    verdict = F.when(x > 50, "severe").when(x > 25, "moderate").when(x < 0, "better").when(x.isNotNull(), "acceptable")
+    return both.withColumn("degradation_pct", drop).withColumn("verdict", verdict)
 
 
 def walk_forward_test(bars: DataFrame, s: Series, strategy: Strategy, n: int, lookback: int, step: int) -> DataFrame:

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
 #: Version and layouts of the protocol, little-endian without padding but as named.
@@ -46,11 +47,17 @@ def decode(messages: DataFrame, column: str, layout: Layout, errors: str = "rais
 
     def run(batches):
         for batch in batches:
-            raw = batch.column(batch.schema.get_field_index(column)).to_pylist()
-            good = [m is not None and len(m) == size and (not layout.versioned or m[0] == PROTOCOL_VERSION) for m in raw]
-            if errors == "raise" and any(m is not None and not g for m, g in zip(raw, good, strict=True)):
+            raw = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
+            offsets = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset : raw.offset + len(raw) + 1]
+            data = np.frombuffer(raw.buffers()[2] or b"", dtype=np.uint8)
+            known = np.asarray(raw.is_valid())
+            good = known & (np.diff(offsets) == size)
+            if layout.versioned:
+                at = np.flatnonzero(good)
+                good[at] = data[offsets[at]] == PROTOCOL_VERSION
+            if errors == "raise" and (known & ~good).any():
                 raise ValueError(f"not a {layout.name} message of {size} bytes, version {PROTOCOL_VERSION}")
-            rows = np.frombuffer(b"".join(m for m, g in zip(raw, good, strict=True) if g), dtype=layout.dtype)
+            rows = data[offsets[:-1][good][:, None] + np.arange(size)].reshape(-1).view(layout.dtype)
             kept = batch.filter(pa.array(good))
             cols = [kept.column(kept.schema.get_field_index(c)) for c in others]
             cols += [pa.array(rows[n].astype(np.int64) if t == "<u4" else np.ascontiguousarray(rows[n])) for n, t in layout.fields]
@@ -74,8 +81,8 @@ def encode(df: DataFrame, layout: Layout, out: str = "message") -> DataFrame:
             for (n, t), c in zip(layout.fields, cols, strict=True):
                 known &= np.asarray(c.is_valid())
                 rows[n] = np.asarray(c.fill_null(0)).astype(t)
-            data, size = rows.tobytes(), layout.dtype.itemsize
-            made = pa.array([data[i * size : (i + 1) * size] if k else None for i, k in enumerate(known)], pa.binary())
+            whole = pa.FixedSizeBinaryArray.from_buffers(pa.binary(layout.dtype.itemsize), len(rows), [None, pa.py_buffer(rows.tobytes())])
+            made = pa.compute.if_else(pa.array(known), whole, None).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, out])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
