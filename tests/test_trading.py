@@ -358,7 +358,7 @@ def test_stream_and_batch_agree_on_nan_and_null(spark, tmp_path):
     r = np.random.default_rng(3)
     rows = []
     for i in range(600):
-        t = None if i % 97 == 0 else int(i * 7_000_000 - (400_000_000 if i % 53 == 0 else 0) + (1_200_000_000 if i > 300 else 0))
+        t = None if i % 97 == 0 else int(i * 7_000_000 - (400_000_000 if i % 53 == 0 else 0) + (180_000_000 if i > 300 else 0) + (1_200_000_000 if i > 450 else 0))
         rows.append(("AB"[i % 2], i, t, (float("nan"), None, -1.0)[i % 3] if i % 41 == 0 else float(r.integers(90, 110)), float(r.integers(1, 9)) if i % 59 else None))
     df = spark.createDataFrame(rows, TRADES)
     for k in range(6):
