@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_series import S, bars
+from tidemark.functions.mathx import autoregression
 from tidemark.operators import permute, strategy
 from tidemark.operators.live_bars import last_trade_pairs, live_bars, with_running_max
 from tidemark.operators.strategy import REGISTRY, Strategy, best_parameters, grid_scores, modal_parameters, walk_forward, with_strategy_returns
@@ -297,7 +298,7 @@ def test_autoregression_equals_the_recursion():
         for x in e:
             y = phi * y + x
             want.append(y)
-        np.testing.assert_allclose(permute.autoregression(e, phi, 2.5), want, rtol=1e-9)
+        np.testing.assert_allclose(autoregression(e, phi, 2.5), want, rtol=1e-9)
 
 
 def test_paper_demo_and_curves(spark):

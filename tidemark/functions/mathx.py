@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,3 +69,25 @@ def _cdf(z: Column) -> Column:
     far = F.exp(-y2) / y * (F.lit(ONE_OVER_SQRT_PI) - inv * _horner(inv, FAR_P) / _horner(inv, (*FAR_Q, 1.0)))
     tail = F.lit(0.5) * F.when(y <= 0.46875, near).when(y <= 4.0, middle).otherwise(far)
     return F.when(z > 0, F.lit(1.0) - tail).otherwise(F.when(z.isNotNull(), tail))
+
+
+def autoregression(shocks: np.ndarray, phi: float, start: float, block: int = 64) -> np.ndarray:
+    """y[i] = phi * y[i-1] + shocks[i] from y[-1] = ``start``: within blocks by the powers of phi, all blocks at once, and then from block to block."""
+    n = len(shocks)
+    blocks = -(-n // block)
+    e = np.zeros(blocks * block)
+    e[:n] = shocks
+    lags = np.arange(block)[:, None] - np.arange(block)
+    powers = np.where(lags >= 0, float(phi) ** np.maximum(lags, 0), 0.0)
+    inner = e.reshape(blocks, block) @ powers.T
+    out, last = np.empty_like(inner), start
+    rise = float(phi) ** np.arange(1, block + 1)
+    for k in range(blocks):
+        out[k] = inner[k] + rise * last
+        last = out[k, -1]
+    return out.ravel()[:n]
+
+
+def day_number(unix_s: Column, reset_hour: int = 0) -> Column:
+    """Days since the epoch of times in seconds, a day beginning at ``reset_hour`` UTC."""
+    return F.floor((unix_s - F.lit(reset_hour * 3600)) / F.lit(86_400)).cast("long")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.nearest import nearest_by_time
+from tidemark.operators.ordered import IDX, number_rows
+from tidemark.session import written
 
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, left_id: str, right_time: str, right_id: str, tolerance: int | None = None) -> DataFrame:
@@ -40,13 +42,22 @@ def interval_join(points: DataFrame, spans: DataFrame, keys: Sequence[str], time
 def trailing_count(events: DataFrame, observations: DataFrame, keys: Sequence[str], time: str, width: int, out: str = "n_observations") -> DataFrame:
     """``events`` with the number of observations of their keys in (time - width, time]; both tables call their time ``time``, BIGINT.
 
-    Events with a null time count none.
+    Events with a null time or key count none. Observations are numbered in order of time;
+    the count is the number of the last one at or before the event less that of the last
+    one at or before its time - width, both by one as-of join. So a key of either table may
+    exceed a task.
     """
-    cols = [*keys, time]
-    tagged = events.withColumn("__tm_obs", F.lit(0)).unionByName(observations.select(*cols).withColumn("__tm_obs", F.lit(1)), allowMissingColumns=True)
-    frame = Window.partitionBy(*keys).orderBy(time).rangeBetween(-(width - 1), 0)
-    counted = tagged.withColumn(out, F.sum("__tm_obs").over(frame)).where("__tm_obs = 0")
-    return counted.withColumn(out, F.when(F.col(time).isNull(), 0).otherwise(F.col(out)).cast("long")).select(*events.columns, out)
+    ks = list(keys)
+    seen = number_rows(observations.select(*ks, F.col(time).cast("long").alias("__tm_at")).na.drop(), ks, ["__tm_at"])
+    # of observations at one time the join takes the smallest id, so the last one gets it
+    seen = seen.withColumn("__tm_id", -F.col(IDX) - 1)
+    own = written(events.withColumn("__tm_row", F.monotonically_increasing_id()), "events")
+    ends = F.explode(F.array(F.struct(F.col(time).cast("long").alias("t"), (F.col("__tm_row") * 2).alias("i")), F.struct((F.col(time) - F.lit(width)).cast("long").alias("t"), (F.col("__tm_row") * 2 + 1).alias("i"))))
+    wanted = own.select(*ks, ends.alias("__tm_e")).select(*ks, F.col("__tm_e.t").alias("__tm_t"), F.col("__tm_e.i").alias("__tm_i"))
+    near = asof_backward(wanted, seen, ks, "__tm_t", "__tm_i", "__tm_at", "__tm_id")
+    sign = F.when(F.pmod("left_id", F.lit(2)) == 0, -F.col("right_id")).otherwise(F.col("right_id"))
+    counts = near.groupBy(F.shiftright("left_id", 1).alias("__tm_n")).agg(F.sum(sign).alias(out))
+    return own.join(counts, F.col("__tm_row") == F.col("__tm_n"), "left").select(*events.columns, F.coalesce(out, F.lit(0)).cast("long").alias(out))
 
 
 def matching_contract(contracts: DataFrame, registered: DataFrame, same: str, optional: Sequence[str], rank: Column) -> DataFrame:

@@ -8,26 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.grid import bucket_start
-from tidemark.operators.ordered import CHUNK, IDX, chunk_rows
+from tidemark.operators.ordered import with_running
 
 
 def with_running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, out: str, size: int = 200_000) -> DataFrame:
-    """``df`` with the maximum of ``x`` over the rows before each row, per key and in order; null at first.
-
-    Computed inside pieces of equal size and carried across them, so that a key may
-    exceed a task.
-    """
-    ks = list(keys)
-    rows = chunk_rows(df, ks, order, size)
-    inner = F.max(x).over(Window.partitionBy(*ks, CHUNK).orderBy(IDX).rowsBetween(Window.unboundedPreceding, -1))
-    tops = rows.groupBy(*ks, CHUNK).agg(F.max(x).alias("__tm_top"))
-    carried = F.max("__tm_top").over(Window.partitionBy(*ks).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1))
-    tops = tops.select(*(F.col(k).alias(f"__tm_k{i}") for i, k in enumerate(ks)), F.col(CHUNK).alias("__tm_c"), carried.alias("__tm_carry"))
-    same = F.col(CHUNK) == F.col("__tm_c")
-    for i, k in enumerate(ks):
-        same = same & F.col(k).eqNullSafe(F.col(f"__tm_k{i}"))
-    joined = rows.withColumn("__tm_in", inner).join(tops, same, "left")
-    return joined.withColumn(out, F.greatest("__tm_in", "__tm_carry")).select(*df.columns, out)
+    """``df`` with the maximum of ``x`` over the rows before each row, per key and in order; null at first. A key may exceed a task."""
+    return with_running(df, keys, order, {out: ("max", F.col(x))}, inclusive=False, size=size)
 
 
 def _valid(time_us: str, seq: str, price: str, size: str):
@@ -104,12 +90,12 @@ def last_trade_pairs(ticks: DataFrame, keys: Sequence[str], seq: str, kind: str,
     """Trades out of separate price and size ticks: each size tick with the last price that arrived before it, at that price's time.
 
     Prices and sizes not above 0 are skipped, and sizes before any price. Result: keys,
-    ``seq`` (of the size tick), ``timestamp_us``, ``price``, ``size``.
+    ``seq`` (of the size tick), ``timestamp_us``, ``price``, ``size``. A key may exceed a task.
     """
-    w = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    good = ticks.where(F.col(value) > 0)
-    last = F.last(F.when(F.col(kind).isin(*price_kinds), F.struct(F.col(time_us).alias("t"), F.col(value).alias("p"))), ignorenulls=True).over(w)
-    paired = good.withColumn("__tm_last", last).where(F.col(kind).isin(*size_kinds) & F.col("__tm_last").isNotNull())
+    good = ticks.where(F.col(value) > 0).select(*keys, seq, kind, value, time_us)
+    price = F.when(F.col(kind).isin(*price_kinds), F.struct(F.col(time_us).alias("t"), F.col(value).alias("p")))
+    good = with_running(good, keys, [seq, kind], {"__tm_last": ("last", price)})
+    paired = good.where(F.col(kind).isin(*size_kinds) & F.col("__tm_last").isNotNull())
     return paired.select(*keys, F.col(seq).alias("seq"), F.col("__tm_last.t").alias("timestamp_us"), F.col("__tm_last.p").alias("price"), F.col(value).alias("size"))
 
 
@@ -119,15 +105,31 @@ def top_of_book(ticks: DataFrame, keys: Sequence[str], seq: str, kind: str, valu
     ``bid_kinds`` and ``ask_kinds`` are the kinds of price ticks and of size ticks. A value not
     above 0 is kept as the side's state, so that nothing is put out until the next good
     one; a missing one is no tick. Result: keys, ``seq``, ``timestamp_us`` (both of the
-    tick), ``side`` (1 bid, 0 ask), ``position`` 0, ``operation`` 1, ``price``, ``size``.
+    tick), ``side`` (1 bid, 0 ask), ``position`` 0, ``operation`` 1, ``price``, ``size``. A
+    side of a key may exceed a task.
     """
     prices, sizes = ([*b, *a] for b, a in zip(bid_kinds, ask_kinds, strict=True))
     side = F.when(F.col(kind).isin(*bid_kinds[0], *bid_kinds[1]), 1).when(F.col(kind).isin(*ask_kinds[0], *ask_kinds[1]), 0)
-    w = Window.partitionBy(*keys, "side").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    last = {name: F.last(F.when(F.col(kind).isin(*kinds), F.col(value)), ignorenulls=True).over(w) for name, kinds in (("__tm_price", prices), ("__tm_size", sizes))}
-    state = ticks.withColumn("side", side).where(F.col("side").isNotNull() & F.col(value).isNotNull()).withColumns(last)
+    last = {name: ("last", F.when(F.col(kind).isin(*kinds), F.col(value))) for name, kinds in (("__tm_price", prices), ("__tm_size", sizes))}
+    own = ticks.select(*keys, seq, kind, value, time_us, side.alias("side")).where(F.col("side").isNotNull() & F.col(value).isNotNull())
+    state = with_running(own, [*keys, "side"], [seq, kind], last)
     known = state.where("__tm_price > 0 AND NOT isnan(__tm_price) AND __tm_size > 0 AND NOT isnan(__tm_size)")
     return known.select(
         *keys, F.col(seq).alias("seq"), F.col(time_us).alias("timestamp_us"), "side", F.lit(0).alias("position"), F.lit(1).alias("operation"),
         F.col("__tm_price").alias("price"), F.col("__tm_size").alias("size"),
     )
+
+
+#: What each data mode wants of a ticker's feed.
+MODES = {"TRADE": {"trades"}, "TICK_L1": {"book", "trades"}, "TICK_L2": {"book"}}
+
+
+def routed(ticks: DataFrame, modes: DataFrame, keys: Sequence[str], kind: str, trade_kinds: Sequence[int] = (4, 5, 68, 71), mode: str = "mode") -> DataFrame:
+    """The ticks that their ticker's data mode wants: trade ticks unless it is TICK_L2, ticks of the book unless it is TRADE; none of a ticker without a known mode.
+
+    ``modes`` has a row for each ticker: ``keys`` and ``mode``.
+    """
+    trade = F.col(kind).isin(*trade_kinds)
+    wants = lambda what: F.col("__tm_mode").isin(*(m for m, w in MODES.items() if what in w))
+    met = ticks.join(modes.select(*keys, F.upper(mode).alias("__tm_mode")), list(keys))
+    return met.where((trade & wants("trades")) | (~trade & wants("book"))).select(*ticks.columns)

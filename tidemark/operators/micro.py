@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.mathx import normal_cdf
+from tidemark.operators.ordered import with_running
 from tidemark.operators.windows import Series, positive_ln
 
 EPS = 1e-12
@@ -48,14 +49,16 @@ def volume_buckets(df: DataFrame, s: Series, bucket: float, volume: str = "volum
     1e-9). ``bucket_end_ts`` is the time of the bar that closed it.
 
     Closed form: a bar covers the interval (S, E] of its series' running volume, and
-    bucket k the interval (k*bucket, (k+1)*bucket]; only the overlaps are exploded.
+    bucket k the interval (k*bucket, (k+1)*bucket]; only the overlaps are exploded. The
+    running volume is carried over pieces of a series, which may exceed a task.
     """
     if bucket <= 0:
         raise ValueError("the bucket volume must be positive")
     b = F.lit(float(bucket))
     v = F.col(volume)
     some = df.where((v > EPS) & ~F.isnan(v))
-    run = some.withColumn("__tm_e", F.sum(v).over(s.upto())).withColumn("__tm_s", F.col("__tm_e") - v)
+    some = some.select(*s.keys, *s.order, *({volume, buy, time} - {*s.keys, *s.order}))
+    run = with_running(some, s.keys, s.order, {"__tm_e": ("sum", v)}).withColumn("__tm_s", F.col("__tm_e") - v)
     lo, hi = F.floor(F.col("__tm_s") / b), F.greatest(F.ceil(F.col("__tm_e") / b) - 1, F.floor(F.col("__tm_s") / b))
     cut = run.withColumn("bucket_id", F.explode(F.sequence(lo, hi)))
     k = F.col("bucket_id").cast("double")

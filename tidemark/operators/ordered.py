@@ -207,3 +207,37 @@ def dominant_keys(df: DataFrame, group: Sequence[str], key: str, order: Sequence
     counts = per_key_counts(df, [*group, key], order, size)
     total = F.sum("n_rows").over(Window.partitionBy(*group))
     return counts.withColumn("group_rows", total).where((F.col("n_rows") >= F.col("group_rows") * F.lit(share)) & F.col(key).isNotNull())
+
+
+def with_running(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, tuple[str, Column]], inclusive: bool = True, size: int = 100_000) -> DataFrame:
+    """``df`` with running values per key in order: ``columns`` maps a name to ('last' | 'sum' | 'max', column).
+
+    'last' is the last value that is not null, 'sum' and 'max' skip nulls; null before the
+    first value. ``inclusive`` takes the row itself in, else only those before it. Null
+    keys are keys of their own. Computed inside pieces of equal size and carried across
+    them, so that a key may exceed a task: only pieces, never rows, meet in one.
+    """
+    ks = list(keys)
+    named = {f"__tm_v{i}": column for i, (_, column) in enumerate(columns.values())}
+    kinds = [kind for kind, _ in columns.values()]
+    rows = chunk_rows(df.withColumns(named), ks, list(order), size)
+    fold = {"last": lambda c: F.last(c, ignorenulls=True), "sum": F.sum, "max": F.max}
+    upto = Window.partitionBy(*ks, CHUNK).orderBy(IDX).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    inner = {f"__tm_i{i}": fold[kind](c).over(upto) for i, (kind, c) in enumerate(zip(kinds, named, strict=True))}
+    whole = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(IDX))) if kind == "last" else fold[kind](c) for kind, c in zip(kinds, named, strict=True)]
+    pieces = rows.groupBy(*ks, CHUNK).agg(*(w.alias(f"__tm_w{i}") for i, w in enumerate(whole)))
+    before = Window.partitionBy(*ks).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    carries = pieces.select(
+        *(F.col(k).alias(f"__tm_k{i}") for i, k in enumerate(ks)), F.col(CHUNK).alias("__tm_c"),
+        *(fold[kind](f"__tm_w{i}").over(before).alias(f"__tm_p{i}") for i, kind in enumerate(kinds)),
+    ).where("__tm_c > 0")
+    same = F.col(CHUNK) == F.col("__tm_c")
+    for i, k in enumerate(ks):
+        same = same & F.col(k).eqNullSafe(F.col(f"__tm_k{i}"))
+    joined = rows.withColumns(inner).join(carries, same, "left")
+    out = []
+    for i, (name, kind) in enumerate(zip(columns, kinds, strict=True)):
+        own, past = F.col(f"__tm_i{i}"), F.col(f"__tm_p{i}")
+        value = {"last": F.coalesce(own, past), "sum": F.when(own.isNull() & past.isNull(), None).otherwise(F.coalesce(own, F.lit(0)) + F.coalesce(past, F.lit(0))), "max": F.greatest(own, past)}[kind]
+        out.append(value.alias(name))
+    return joined.select(*df.columns, *out)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.mathx import autoregression
 from tidemark.operators.strategy import Strategy, profit_factor, with_strategy_returns
 from tidemark.operators.windows import Series
 
@@ -164,23 +165,6 @@ def simulate_ar1(bars: DataFrame, s: Series, permutations: int, start_index: int
     return copies.groupBy(PERM, *keys).applyInPandas(simulate, copies.schema)
 
 
-def autoregression(shocks: np.ndarray, phi: float, start: float, block: int = 64) -> np.ndarray:
-    """y[i] = phi * y[i-1] + shocks[i] from y[-1] = ``start``: within blocks by the powers of phi, all blocks at once, and then from block to block."""
-    n = len(shocks)
-    blocks = -(-n // block)
-    e = np.zeros(blocks * block)
-    e[:n] = shocks
-    lags = np.arange(block)[:, None] - np.arange(block)
-    powers = np.where(lags >= 0, float(phi) ** np.maximum(lags, 0), 0.0)
-    inner = e.reshape(blocks, block) @ powers.T
-    out, last = np.empty_like(inner), start
-    rise = float(phi) ** np.arange(1, block + 1)
-    for k in range(blocks):
-        out[k] = inner[k] + rise * last
-        last = out[k, -1]
-    return out.ravel()[:n]
-
-
 def random_orders(spark: SparkSession, rows: int, permutations: int, seed: int = 1000) -> DataFrame:
     """(``perm_id``, ``slot``, ``source``): NumPy's permutations of ``rows`` for the seeds ``seed + perm_id``."""
 
