@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.mathx import normal_cdf_sql
+from tidemark.functions.mathx import day_number, normal_cdf_sql
 from tidemark.functions.model import FrozenLogistic
 from tidemark.operators import features, micro, permute, pit, strategy
 from tidemark.operators.grid import bucket_start
 from tidemark.operators.joins import asof_backward, asof_forward, matching_contract, trailing_count
 from tidemark.operators.labeling import triple_barrier
-from tidemark.operators.live_bars import last_trade_pairs, live_bars, live_counters, top_of_book
-from tidemark.operators.trades import performance, trade_table
+from tidemark.operators.live_bars import last_trade_pairs, live_bars, live_counters, routed, top_of_book
+from tidemark.operators.trades import equity_curve, last_signals, latest_pnl, paper_bars, paper_fills, paper_summary, performance, trade_pnl_curve, trade_table
 from tidemark.operators.validate import hybrid_walk_forward
 from tidemark.operators.windows import Series, in_segments
 from tidemark.sources import wire
@@ -314,13 +314,14 @@ def top_of_book_updates(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT recording_id, seq, timestamp, price, position, operation, side, size, ticker_id FROM l2_updates WHERE price IS NOT NULL AND size IS NOT NULL
+    SELECT recording_id, seq, timestamp, CASE WHEN CAST(u.price AS VARCHAR) <> 'nan' THEN u.price END AS price, CAST(u.price AS VARCHAR) = 'nan' AS no_number, position, operation, side, size, ticker_id FROM l2_updates u WHERE u.price IS NOT NULL AND size IS NOT NULL
 """)
 def wire_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Book updates written as binary messages and read again."""
+    """Book updates written as binary messages and read again; a message holds no null, so rows with one have none."""
     sent = wire.encode(table(spark, d, "l2_updates").drop("kind"), wire.DEPTH)
     slim = sent.select("recording_id", "seq", "ticker_id", "message").where("message IS NOT NULL")
-    return wire.decode(slim, "message", wire.DEPTH)
+    back = wire.decode(slim, "message", wire.DEPTH)
+    return back.withColumns({"no_number": F.isnan("price"), "price": F.when(~F.isnan("price"), F.col("price"))})
 
 
 _SIGNALS = f"""
@@ -407,22 +408,23 @@ def donchian_performance(spark: SparkSession, d: str) -> DataFrame:
     return m.select("symbol", "total_trades", "winning_trades", *(F.round(c, k).alias(c) for c, k in digits.items()), "max_drawdown_bars", "long_trades")
 
 
-@query(f"WITH {_SIGNALS} SELECT symbol, ts, seq, bollinger, cross_raw AS sma_cross FROM g")
+#: Closes a little apart, so that no two averages are equal but for their rounding.
+_APART = "close * (1 + (seq * 37 % 997) * 1e-7)"
+_NUDGED = _SIGNALS.replace("FROM bars", "FROM (SELECT * REPLACE (" + _APART + " AS close) FROM bars)")
+
+
+@query(f"WITH {_NUDGED} SELECT symbol, ts, seq, bollinger, cross_raw AS sma_cross FROM g")
 def band_and_cross_signals(spark: SparkSession, d: str) -> DataFrame:
-    """Bollinger and moving-average-cross signals; comparisons leave out ties within 1e-9, which rounding decides."""
-    b = bars(spark, d)
-    slow, fast, dev = features.sma(S, "close", 20), features.sma(S, "close", 10), features.rolling_std(S, "close", 20)
-    b = b.withColumns({"slow": slow, "fast": fast, "dev": dev})
-    band = F.when(F.col("close") < F.col("slow") - 2 * F.col("dev") - 1e-9, 1.0).when(F.col("close") > F.col("slow") + 2 * F.col("dev") + 1e-9, -1.0)
-    cross = F.when(F.col("fast") > F.col("slow") + 1e-9, 1.0).when(F.col("fast") < F.col("slow") - 1e-9, -1.0).otherwise(0.0)
-    out = b.withColumns({"raw": band, "sma_cross": cross})
-    return out.select("symbol", "ts", "seq", S.fill("raw").alias("bollinger"), "sma_cross")
+    """Signals of the two built-in strategies on averages, on closes that are a little apart."""
+    b = bars(spark, d).withColumn("close", F.expr(_APART))
+    both = strategy.REGISTRY.get("bollinger").apply(b, S, "bollinger", period=20, std_multiplier=2.0)
+    return strategy.REGISTRY.get("sma_cross").apply(both, S, "sma_cross", fast_ma=10, slow_ma=20).select("symbol", "ts", "seq", "bollinger", "sma_cross")
 
 
 _GRID = strategy.Strategy("donchian_grid", strategy.donchian, {"lookback": (12, 16, 20, 24, 32)}, holds=True)
 
 
-def _grid_sql(part: str, source: str) -> str:
+def _grid_sql(part: str, source: str, x: str = "g") -> str:
     """Scores of the five lookbacks for each ``part`` of ``source``."""
     own = f"(PARTITION BY {part} ORDER BY ts, seq)"
     cols, ids = [], []
@@ -434,12 +436,12 @@ def _grid_sql(part: str, source: str) -> str:
     held = ", ".join(f"last_value(d{i} IGNORE NULLS) OVER (PARTITION BY {part} ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h{i}" for i in ids)
     moved = ", ".join(f"coalesce(lag(h{i}) OVER {own}, 0) * mv AS x{i}" for i in ids)
     union = " UNION ALL ".join(
-        f"SELECT {part}, {i} AS param_id, coalesce(sum(x{i}) FILTER (WHERE x{i} > 0), 0) AS gain, coalesce(-sum(x{i}) FILTER (WHERE x{i} < 0), 0) AS loss FROM gm GROUP BY {part}" for i in ids
+        f"SELECT {part}, {i} AS param_id, coalesce(sum(x{i}) FILTER (WHERE x{i} > 0), 0) AS gain, coalesce(-sum(x{i}) FILTER (WHERE x{i} < 0), 0) AS loss FROM {x}m GROUP BY {part}" for i in ids
     )
     return f"""
-        gr AS (SELECT *, coalesce(ln(close) - ln(lag(close) OVER {own}), 0) AS mv, {', '.join(cols)} FROM {source}),
-        gh AS (SELECT *, {held} FROM gr), gm AS (SELECT *, {moved} FROM gh),
-        gs AS (SELECT *, CASE WHEN loss > 0 THEN gain / loss WHEN gain > 0 THEN 'inf'::DOUBLE ELSE 0 END AS score FROM ({union}))
+        {x}r AS (SELECT *, coalesce(ln(close) - ln(lag(close) OVER {own}), 0) AS mv, {', '.join(cols)} FROM {source}),
+        {x}h AS (SELECT *, {held} FROM {x}r), {x}m AS (SELECT *, {moved} FROM {x}h),
+        {x}s AS (SELECT *, CASE WHEN loss > 0 THEN gain / loss WHEN gain > 0 THEN 'inf'::DOUBLE ELSE 0 END AS score FROM ({union}))
     """
 
 
@@ -449,20 +451,31 @@ def grid_search(spark: SparkSession, d: str) -> DataFrame:
     return strategy.grid_scores(bars(spark, d), S, _GRID).withColumn("score", F.round("score", 5))
 
 
-@query(f"""
-    WITH {B}, n AS (SELECT *, row_number() OVER {W} - 1 AS rw, count(*) OVER (PARTITION BY symbol) - 1 AS top FROM b),
-    tr AS (SELECT n.*, unnest(generate_series(greatest((CAST(floor((rw - 120) / 40.0) AS BIGINT)) + 1, 0), least(rw // 40, CAST(floor((top - 120) / 40.0) AS BIGINT)))) AS win_id FROM n),
-    {_grid_sql('symbol, win_id', 'tr')}
-    SELECT symbol, CAST(win_id AS INTEGER) AS win_id, CAST(param_id AS INTEGER) AS param_id, round(score, 5) AS score
-    FROM gs QUALIFY row_number() OVER (PARTITION BY symbol, win_id ORDER BY score DESC, param_id) = 1
-""")
+def _walk_sql(source: str, lookback: int, step: int, x: str = "g") -> str:
+    """CTEs: rows numbered (n), training slices (tr), choices (ch), and the rows with the chosen ``signal`` and its window (sg)."""
+    held = " ".join(f"WHEN {i} THEN h{i}" for i in range(len(_GRID.grid["lookback"])))
+    return f"""
+        n AS (SELECT *, row_number() OVER {W} - 1 AS rw, count(*) OVER (PARTITION BY symbol) - 1 AS top FROM {source}),
+        tr AS (SELECT n.*, unnest(generate_series(greatest((CAST(floor((rw - {lookback}) / {step}.0) AS BIGINT)) + 1, 0), least(rw // {step}, CAST(floor((top - {lookback}) / {step}.0) AS BIGINT)))) AS win_id FROM n),
+        {_grid_sql('symbol, win_id', 'tr', x)},
+        ch AS (SELECT symbol, win_id, param_id, score FROM {x}s QUALIFY row_number() OVER (PARTITION BY symbol, win_id ORDER BY score DESC, param_id) = 1),
+        {_grid_sql('symbol', 'n', x + 'w')},
+        wn AS (SELECT *, CASE WHEN rw >= {lookback} THEN (rw - {lookback}) // {step} END AS win FROM {x}wh),
+        sg AS (SELECT wn.*, ch.win_id, CASE ch.param_id {held} END AS signal FROM wn LEFT JOIN ch ON wn.symbol = ch.symbol AND wn.win = ch.win_id)
+    """
+
+
+@query(f"WITH {B}, {_walk_sql('b', 120, 40)} SELECT symbol, CAST(win_id AS INTEGER) AS win_id, CAST(param_id AS INTEGER) AS param_id, round(score, 5) AS score FROM ch")
 def walk_forward_choices(spark: SparkSession, d: str) -> DataFrame:
     """Lookback chosen in each training window of 120 bars, every 40 bars."""
     choices = strategy.walk_forward(bars(spark, d), S, _GRID, 120, 40)[1]
     return choices.select("symbol", "win_id", "param_id", F.round("score", 5).alias("score"))
 
 
-@query()
+@query(f"""
+    WITH {B}, {_walk_sql('b', 120, 40)}, x AS (SELECT symbol, signal, coalesce(lag(signal) OVER {W}, 0) * mv AS r FROM sg)
+    SELECT symbol, count(signal) AS n_traded, round(sum(r), 6) AS total_return FROM x GROUP BY symbol
+""")
 def walk_forward_returns(spark: SparkSession, d: str) -> DataFrame:
     """Out-of-sample return of the walk-forward signal, by symbol."""
     signal = strategy.walk_forward(bars(spark, d), S, _GRID, 120, 40)[0]
@@ -470,6 +483,16 @@ def walk_forward_returns(spark: SparkSession, d: str) -> DataFrame:
     return done.groupBy("symbol").agg(F.count("signal").alias("n_traded"), F.round(F.sum("strategy_ret"), 6).alias("total_return"))
 
 
+@query(f"""
+    WITH {B}, {_walk_sql('b', 120, 40)}, m AS (SELECT symbol, param_id, count(*) AS n_windows, min(win_id) AS f FROM ch GROUP BY ALL)
+    SELECT symbol, CAST(param_id AS INTEGER) AS param_id, n_windows FROM m QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY n_windows DESC, f) <= 5
+""")
+def frequent_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """The five lookbacks that the walk-forward chose most often, by symbol."""
+    choices = strategy.walk_forward(bars(spark, d), S, _GRID, 120, 40)[1]
+    return strategy.modal_parameters(choices, ["symbol"], 5)
+
+
 @query(f"""
     WITH {B}, n AS (SELECT *, row_number() OVER {W} - 1 AS rw, ln(open) - ln(lag(close) OVER {W}) AS o, ln(close) - ln(open) AS c FROM b WHERE symbol IN (SELECT symbol FROM b GROUP BY 1 HAVING count(*) > 0)),
     cp AS (SELECT n.*, p.p FROM n, (SELECT unnest(generate_series(1, 19)) AS p) p WHERE rw > 0),
@@ -499,21 +522,32 @@ def permutation_moments(spark: SparkSession, d: str) -> DataFrame:
 ORACLES["permutation_moments"] = ORACLES["permutation_p_values"].split("    SELECT x.symbol, round(rr.total")[0] + "    SELECT symbol, round(avg(total), 6) AS permuted_mean, round(stddev_pop(total), 6) AS permuted_std FROM x GROUP BY symbol"
 
 
-@query()
+@query(f"""
+    WITH {B}, n AS (
+        SELECT *, row_number() OVER {W} - 1 AS rw, count(*) OVER (PARTITION BY symbol) AS k, coalesce(ln(close) - ln(lag(close) OVER {W}), 0) AS mv, first_value(close) OVER {W} AS c0 FROM b
+    ), p AS (
+        SELECT n.symbol, n.rw, n.k, n.c0, p.p, least(('0x' || substr(md5(concat_ws('-', 'block', p.p, n.rw // 10)), 1, 12))::BIGINT % greatest(n.k - 9, 1) + n.rw % 10, n.k - 1) AS src
+        FROM n, (SELECT unnest(generate_series(1, 10)) AS p) p
+    )
+    SELECT p.symbol, p.p AS perm_id, count(*) AS n_bars, round(exp(ln(min(p.c0)) + sum(CASE WHEN p.rw > 0 THEN n.mv ELSE 0 END)), 4) AS last_close
+    FROM p JOIN n ON n.symbol = p.symbol AND n.rw = p.src GROUP BY ALL
+""")
 def block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Last close of each of ten block-bootstrapped series, by symbol."""
     out = permute.bootstrap_blocks(bars(spark, d), S, 10)
     return out.groupBy("symbol", "perm_id").agg(F.count(F.lit(1)).alias("n_bars"), F.round(F.max_by("close", F.struct("ts", "seq")), 4).alias("last_close"))
 
 
-@query()
+@query(f"""
+    WITH {B}, n AS (SELECT *, row_number() OVER {W} - 1 AS rw FROM b),
+    p AS (SELECT n.*, p.p, row_number() OVER (PARTITION BY p.p, n.symbol ORDER BY md5(concat_ws('-', 'row', p.p, n.symbol, n.rw)), n.rw) AS slot FROM n, (SELECT unnest(generate_series(1, 5)) AS p) p)
+    SELECT symbol, p AS perm_id, count(*) AS n_bars, round(sum(close), 4) AS sum_close, round(sum(close * slot) / sum(slot), 6) AS centre FROM p GROUP BY ALL
+""")
 def row_permutation(spark: SparkSession, d: str) -> DataFrame:
-    """Bars and summed closes of each of five row-shuffled series, by symbol: sums that shuffling keeps."""
-    out = permute.permute_rows(bars(spark, d), S, 5)
-    return out.groupBy("symbol", "perm_id").agg(F.count(F.lit(1)).alias("n_bars"), F.round(F.sum("close"), 4).alias("sum_close"))
-
-
-ORACLES["row_permutation"] = f"WITH {B} SELECT symbol, p.p AS perm_id, count(*) AS n_bars, round(sum(close), 4) AS sum_close FROM b, (SELECT unnest(generate_series(1, 5)) AS p) p GROUP BY ALL"
+    """Of each of five row-shuffled series, by symbol: bars, summed closes, which shuffling keeps, and their mean weighted by place, which it does not."""
+    own = Series([permute.PERM, "symbol"], S.order)
+    out = permute.permute_rows(bars(spark, d), S, 5).withColumn("slot", F.row_number().over(own.all()))
+    return out.groupBy("symbol", "perm_id").agg(F.count(F.lit(1)).alias("n_bars"), F.round(F.sum("close"), 4).alias("sum_close"), F.round(F.sum(F.col("close") * F.col("slot")) / F.sum("slot"), 6).alias("centre"))
 
 
 @query("""
@@ -526,17 +560,30 @@ def reports_before_data(spark: SparkSession, d: str) -> DataFrame:
     return pit.events_before_data(events, table(spark, d, "trades").select(*_KEY, F.col("timestamp_us").alias("t")), _KEY, "t").select("report_id")
 
 
-@query("SELECT symbol, ts, seq, 0 AS n FROM bars WHERE false")
+_MIDDLE_SQL = "SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 AS cut FROM bars"
+
+
+def _leaks(spark: SparkSession, d: str, pipeline) -> DataFrame:
+    """Rows up to the middle of time whose outputs change when later bars do."""
+    b = bars(spark, d).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    cutoff = b.agg(F.expr("(min(us) + max(us)) div 2")).first()[0]
+    leaks = pit.future_leaks(b, pipeline, ["symbol", "seq", "ts"], "us", cutoff or 0, ["open", "high", "low", "close", "volume"])
+    return leaks.select("symbol", "ts", "seq")
+
+
+@query("SELECT symbol, ts, seq FROM bars WHERE false")
 def feature_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """Rows whose features change when later bars do: none, for causal features."""
-    b = bars(spark, d)
-    cutoff = b.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), 0.6)).first()[0]
-    if cutoff is None:
-        return b.select("symbol", "ts", "seq", F.lit(0).alias("n")).where("false")
-    at = b.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    checked = ["sma", "std", "atr", "rsi", "realized_vol"]
-    leaks = pit.future_leaks(at, lambda x: features.with_features(x, S), ["symbol", "seq", "ts"], "us", cutoff, ["open", "high", "low", "close", "volume"], checked)
-    return leaks.select("symbol", "ts", "seq", F.lit(0).alias("n"))
+    """Rows of which any feature changes when later bars do: none, since features are causal; that the check finds one, ``planted_leaks`` shows."""
+    return _leaks(spark, d, lambda x: features.with_features(x, S))
+
+
+@query(f"""
+    WITH {B}, m AS ({_MIDDLE_SQL}), x AS (SELECT symbol, ts, seq, lead(ts) OVER {W} AS nx FROM b)
+    SELECT symbol, ts, seq FROM x, m WHERE epoch_us(ts) <= cut AND epoch_us(nx) > cut
+""")
+def planted_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """The same check of features with one that looks a bar ahead: the last row before the middle of each symbol."""
+    return _leaks(spark, d, lambda x: features.with_features(x, S).withColumn("ahead", F.lead("close").over(S.all())))
 
 
 @query("""
@@ -596,11 +643,211 @@ def hourly_bars(spark: SparkSession, d: str) -> DataFrame:
     return h.withColumn("ret", F.when(before > 0, F.round(F.col("close") / before - 1, 6)))
 
 
-@query()
+def _trades_sql(source: str, x: str) -> str:
+    """CTE {x}: trades of the ``signal`` of a table of bars, by symbol, with their profit."""
+    return f"""
+        {x}p AS (SELECT *, CASE WHEN signal > 0 THEN 'long' WHEN signal < 0 THEN 'short' ELSE 'flat' END AS position FROM {source}),
+        {x}t AS (SELECT * FROM (SELECT *, coalesce(lag(position) OVER {W}, 'flat') AS was FROM {x}p) WHERE position <> was),
+        {x}x AS (SELECT *, lead(close) OVER {W} AS out_price FROM {x}t),
+        {x} AS (SELECT symbol, CASE WHEN position = 'long' THEN out_price - close ELSE close - out_price END AS pnl FROM {x}x WHERE position <> 'flat' AND out_price IS NOT NULL)
+    """
+
+
+def _part_sql(trades: str, source: str, name: str) -> str:
+    """Metrics of the trades and summed returns of a part, by symbol."""
+    return f"""
+        {name}_m AS (
+            SELECT symbol, count(*) AS k, count(*) FILTER (WHERE pnl > 0) AS w, sum(pnl) AS pnl,
+                coalesce(sum(pnl) FILTER (WHERE pnl > 0), 0) AS gain, coalesce(-sum(pnl) FILTER (WHERE pnl < 0), 0) AS pain FROM {trades} GROUP BY symbol
+        ), {name}_r AS (SELECT symbol, sum(r) AS total FROM (SELECT symbol, coalesce(lag(signal) OVER {W}, 0) * coalesce(ln(close) - ln(lag(close) OVER {W}), 0) AS r FROM {source}) GROUP BY symbol),
+        {name} AS (
+            SELECT r.symbol, CASE WHEN pain > 0 THEN gain / pain WHEN gain > 0 THEN 'inf'::DOUBLE WHEN gain = 0 THEN 0 END AS pf, pnl, coalesce(k, 0) AS trades,
+                CASE WHEN k > 0 THEN w / k ELSE 0 END AS rate, total FROM {name}_r r LEFT JOIN {name}_m m ON r.symbol = m.symbol
+        )
+    """
+
+
+@query(f"""
+    WITH {B}, h AS (SELECT *, row_number() OVER {W} * 2 > count(*) OVER (PARTITION BY symbol) AS later FROM b),
+    dt AS (SELECT * REPLACE (CASE WHEN later THEN ts + INTERVAL 40 DAY ELSE ts END AS ts) FROM h),
+    sp AS (SELECT dt.*, ts >= max(ts) OVER (PARTITION BY symbol) - INTERVAL 1 MONTH AS is_holdout FROM dt),
+    dv AS (SELECT * FROM sp WHERE NOT is_holdout), {_walk_sql('dv', 60, 20)},
+    mp AS (SELECT * FROM (SELECT symbol, param_id, count(*) AS n_windows, min(win_id) AS f FROM ch GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY n_windows DESC, f) = 1),
+    dev_rows AS (SELECT symbol, ts, seq, close, signal FROM sg WHERE win_id IS NOT NULL),
+    {_grid_sql('symbol', 'sp', 'q')},
+    held_rows AS (SELECT q.symbol, q.ts, q.seq, q.close, CASE mp.param_id {' '.join(f'WHEN {i} THEN h{i}' for i in range(len(_GRID.grid['lookback'])))} END AS signal FROM qh q JOIN mp ON q.symbol = mp.symbol WHERE is_holdout),
+    {_trades_sql('dev_rows', 'dt_')}, {_trades_sql('held_rows', 'ht_')}, {_part_sql('dt_', 'dev_rows', 'dev')}, {_part_sql('ht_', 'held_rows', 'held')},
+    z AS (SELECT mp.symbol, mp.param_id, n_windows, d.pf AS dpf, d.pnl AS dpnl, d.trades AS dt, d.rate AS dr, d.total AS dtot, e.pf AS hpf, e.pnl AS hpnl, e.trades AS ht, e.rate AS hr, e.total AS htot,
+        CASE WHEN d.pf > 0 AND e.pf > 0 AND isfinite(d.pf) THEN (d.pf - e.pf) / d.pf * 100 END AS x FROM mp JOIN dev d ON mp.symbol = d.symbol JOIN held e ON mp.symbol = e.symbol)
+    SELECT symbol, CAST(param_id AS INTEGER) AS param_id, n_windows, round(dpf, 4) AS dev_profit_factor, round(dpnl, 4) AS dev_total_pnl, dt AS dev_total_trades, round(dr, 6) AS dev_win_rate, round(dtot, 6) AS dev_return,
+        round(hpf, 4) AS holdout_profit_factor, round(hpnl, 4) AS holdout_total_pnl, ht AS holdout_total_trades, round(hr, 6) AS holdout_win_rate, round(htot, 6) AS holdout_return,
+        round(x, 3) AS degradation_pct, CASE WHEN x > 50 THEN 'severe' WHEN x > 25 THEN 'moderate' WHEN x < 0 THEN 'better' WHEN x IS NOT NULL THEN 'acceptable' END AS verdict FROM z
+""")
 def holdout_check(spark: SparkSession, d: str) -> DataFrame:
-    """Walk-forward choices frozen on a holdout: here the second half of each symbol's bars, dated a month after the first."""
+    """Walk-forward choices frozen on a holdout: here the second half of each symbol's bars, dated 40 days later."""
     half = F.row_number().over(S.all()) * 2 > F.count(F.lit(1)).over(Window.partitionBy("symbol"))
     dated = bars(spark, d).withColumn("later", half)
     dated = dated.withColumn("ts", F.when(F.col("later"), F.expr("ts + make_dt_interval(40)")).otherwise(F.col("ts"))).drop("later")
     out = hybrid_walk_forward(dated, S, _GRID, 60, 20, 1)
-    return _rounded(out, [], 6)
+    digits = {"profit_factor": 4, "total_pnl": 4, "win_rate": 6, "return": 6}
+    parts = {f"{p}_{c}": F.round(f"{p}_{c}", k) for p in ("dev", "holdout") for c, k in digits.items()}
+    return out.withColumns(parts | {"degradation_pct": F.round("degradation_pct", 3)})
+
+
+_DONCHIAN = strategy.REGISTRY.get("donchian")
+
+
+@query(f"""
+    WITH {_SIGNALS}, h AS (SELECT *, coalesce(lag(donchian) OVER {W}, 0) AS held, coalesce(ln(close) - ln(lag(close) OVER {W}), 0) AS mv FROM g),
+    x AS (SELECT symbol, held * mv - coalesce(abs(held - lag(held) OVER {W}), 0) * 0.0005 AS r FROM h),
+    a AS (SELECT symbol, sum(r) AS total, coalesce(sum(r) FILTER (WHERE r > 0), 0) AS gain, coalesce(-sum(r) FILTER (WHERE r < 0), 0) AS pain, avg(r) AS m, stddev_samp(r) AS dev FROM x GROUP BY symbol)
+    SELECT symbol, round(total, 6) AS total, round(CASE WHEN pain > 0 THEN gain / pain WHEN gain > 0 THEN 'inf'::DOUBLE ELSE 1 END, 4) AS profit_factor, round(CASE WHEN dev > 0 THEN m / dev ELSE 0 END, 5) AS sharpe FROM a
+""")
+def returns_after_costs(spark: SparkSession, d: str) -> DataFrame:
+    """Return of the breakout signal after a spread of 3 and a commission of 2 basis points on changes of position; profit factor and Sharpe ratio of the bars."""
+    done = strategy.with_strategy_returns(_DONCHIAN.apply(bars(spark, d), S), S, "signal", 3.0, 2.0)
+    x = F.col("strategy_ret")
+    return done.groupBy("symbol").agg(F.round(F.sum(x), 6).alias("total"), F.round(strategy.profit_factor(x, 1.0), 4).alias("profit_factor"), F.round(strategy.sharpe(x), 5).alias("sharpe"))
+
+
+def _streak_sql(flag: str, out: str) -> str:
+    w = "(PARTITION BY symbol ORDER BY exit_time, entry_time)"
+    return f"SELECT symbol, max(n) AS {out} FROM (SELECT symbol, i, count(*) AS n FROM (SELECT *, sum(CASE WHEN {flag} THEN 0 ELSE 1 END) OVER {w} AS i FROM tt) WHERE {flag} GROUP BY ALL) GROUP BY symbol"
+
+
+@query(f"""
+    WITH {_TRADES}, sr AS (SELECT symbol, coalesce(lag(donchian) OVER {W}, 0) * coalesce(ln(close) - ln(lag(close) OVER {W}), 0) AS x FROM g),
+    bb AS (SELECT symbol, avg(x) AS avg_return, stddev_samp(x) AS volatility FROM sr GROUP BY symbol),
+    cw AS ({_streak_sql('pnl > 0', 'cw')}), cl AS ({_streak_sql('pnl < 0', 'cl')}),
+    rt AS (SELECT *, CASE WHEN entry_price > 0 THEN pnl / entry_price ELSE 0 END AS ret FROM tt),
+    a AS (
+        SELECT symbol, count(*) AS k, count(*) FILTER (WHERE pnl > 0) AS w, coalesce(avg(pnl) FILTER (WHERE pnl > 0), 0) AS aw, coalesce(avg(pnl) FILTER (WHERE pnl < 0), 0) AS al, avg(pnl) AS ap,
+            coalesce(max(pnl) FILTER (WHERE pnl > 0), 0) AS lw, coalesce(min(pnl) FILTER (WHERE pnl < 0), 0) AS ll,
+            coalesce(avg(ln(1 + ret)) FILTER (WHERE 1 + ret > 0), '-inf'::DOUBLE) AS lu, coalesce(avg(1 - 1 / (1 + ret)) FILTER (WHERE 1 + ret > 0), '-inf'::DOUBLE) AS cu,
+            avg(holding_hours) AS ah, min(holding_hours) AS mh, count(*) FILTER (WHERE position = 'long') AS nl, count(*) FILTER (WHERE position = 'short') AS ns,
+            count(*) FILTER (WHERE position = 'long' AND pnl > 0) AS lwn, count(*) FILTER (WHERE position = 'short' AND pnl > 0) AS swn,
+            coalesce(avg(pnl) FILTER (WHERE position = 'long'), 0) AS lap, coalesce(avg(pnl) FILTER (WHERE position = 'short'), 0) AS sap
+        FROM rt GROUP BY symbol
+    )
+    SELECT a.symbol, round(avg_return, 9) AS avg_return, round(volatility, 9) AS volatility, round(ap, 6) AS average_pnl, round(lw, 6) AS largest_win, round(ll, 6) AS largest_loss,
+        round(lu, 9) AS log_utility, round(cu, 9) AS crra_utility, round(ah, 6) AS avg_hold_hours, round(mh, 6) AS min_hold_hours, ns AS short_trades,
+        coalesce(cw, 0) AS max_consecutive_wins, coalesce(cl, 0) AS max_consecutive_losses, round(CASE WHEN al <> 0 THEN aw / al ELSE 'inf'::DOUBLE END, 4) AS payoff_ratio,
+        round(w / k * aw + (1 - w / k) * al, 6) AS expectancy, k >= 30 AS adequate_sample, round(CASE WHEN nl > 0 THEN lwn / nl ELSE 0 END, 6) AS long_win_rate,
+        round(CASE WHEN ns > 0 THEN swn / ns ELSE 0 END, 6) AS short_win_rate, round(lap, 6) AS long_avg_pnl, round(sap, 6) AS short_avg_pnl
+    FROM a JOIN bb ON a.symbol = bb.symbol LEFT JOIN cw ON a.symbol = cw.symbol LEFT JOIN cl ON a.symbol = cl.symbol
+""")
+def donchian_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The other metrics of the breakout signal, of symbols with a trade."""
+    m = performance(_DONCHIAN.apply(bars(spark, d), S), S).where("total_trades > 0")
+    digits = {
+        "avg_return": 9, "volatility": 9, "average_pnl": 6, "largest_win": 6, "largest_loss": 6, "log_utility": 9, "crra_utility": 9, "avg_hold_hours": 6, "min_hold_hours": 6, "payoff_ratio": 4,
+        "expectancy": 6, "long_win_rate": 6, "short_win_rate": 6, "long_avg_pnl": 6, "short_avg_pnl": 6,
+    }
+    kept = ("short_trades", "max_consecutive_wins", "max_consecutive_losses", "adequate_sample")
+    return m.select("symbol", *kept, *(F.round(c, k).alias(c) for c, k in digits.items()))
+
+
+@query(f"""
+    WITH {_TRADES}, ex AS (SELECT symbol, exit_time AS ts, sum(pnl) AS pnl FROM tt GROUP BY ALL),
+    mv AS (SELECT *, coalesce(lag(donchian) OVER {W}, 0) * coalesce(ln(close) - ln(lag(close) OVER {W}), 0) AS x FROM g)
+    SELECT m.symbol, m.ts, m.seq, round(sum(coalesce(pnl, 0)) OVER {W.replace('symbol', 'm.symbol').replace('ts', 'm.ts').replace('seq', 'm.seq')}, 5) AS cum_pnl,
+        round(sum(x) OVER {W.replace('symbol', 'm.symbol').replace('ts', 'm.ts').replace('seq', 'm.seq')}, 6) AS equity FROM mv m LEFT JOIN ex ON m.symbol = ex.symbol AND m.ts = ex.ts
+""")
+def profit_curves(spark: SparkSession, d: str) -> DataFrame:
+    """Profit of trades left and summed returns of the breakout signal, bar by bar."""
+    signal = _DONCHIAN.apply(bars(spark, d), S)
+    return _rounded(trade_pnl_curve(signal, S), [], 5).join(_rounded(equity_curve(signal, S), [], 6), ["symbol", "ts", "seq"])
+
+
+_PAPER_SQL = f"""
+    {B.replace('FROM bars', 'FROM (SELECT * REPLACE (' + _APART + ' AS close) FROM bars)')},
+    c AS (SELECT *, {full('avg', 'close', 10)} AS fast, {full('avg', 'close', 40)} AS slow FROM b),
+    tg AS (SELECT *, CASE WHEN fast IS NULL OR slow IS NULL THEN 0.0::DOUBLE WHEN fast > slow THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS target FROM c),
+    hd AS (SELECT *, coalesce(lag(target) OVER {W}, 0) AS held, coalesce(close - lag(close) OVER {W}, 0) AS mv FROM tg),
+    fl AS (SELECT *, abs(held - coalesce(lag(held) OVER {W}, 0)) AS flip, held * mv AS gross FROM hd),
+    nt AS (SELECT *, gross - flip * 0.0001 * close AS net FROM fl)
+"""
+
+
+def _papered(spark: SparkSession, d: str) -> DataFrame:
+    b = bars(spark, d).withColumn("close", F.expr(_APART))
+    fast, slow = features.sma(S, "close", 10), features.sma(S, "close", 40)
+    target = F.when(fast.isNull() | slow.isNull(), 0.0).when(fast > slow, 1.0).otherwise(-1.0)
+    return paper_bars(b.withColumn("target", target), S)
+
+
+@query(f"""
+    WITH {_PAPER_SQL} SELECT symbol, count(*) AS n_bars, count(*) FILTER (WHERE flip > 0) AS n_flips, round(sum(gross), 5) AS gross_pnl, round(sum(net), 5) AS net_pnl,
+        round(CASE WHEN count(*) FILTER (WHERE net <> 0) > 0 THEN 100.0 * count(*) FILTER (WHERE net > 0) / count(*) FILTER (WHERE net <> 0) ELSE 0 END, 5) AS win_rate,
+        round(CASE WHEN stddev_pop(net) > 0 THEN avg(net) / stddev_pop(net) ELSE 0 END, 6) AS sharpe FROM nt GROUP BY symbol
+""")
+def paper_results(spark: SparkSession, d: str) -> DataFrame:
+    """Summary of the paper run of an average crossing, by symbol."""
+    return _rounded(_rounded(paper_summary(_papered(spark, d), S), ["sharpe"], 5), ["gross_pnl", "net_pnl", "win_rate"], 6)
+
+
+@query(f"""
+    WITH {_PAPER_SQL} SELECT symbol, ts, seq, CASE WHEN held > 0 THEN 'LONG' WHEN held < 0 THEN 'SHORT' ELSE 'FLAT' END AS side, round(close, 6) AS price, held AS target_position FROM nt WHERE flip > 0
+""")
+def paper_journal(spark: SparkSession, d: str) -> DataFrame:
+    """Fills of that run."""
+    return _rounded(paper_fills(_papered(spark, d), S), ["target_position"])
+
+
+@query(f"WITH {_SIGNALS} SELECT symbol, arg_max(coalesce(donchian, 0), (ts, seq)) AS signal FROM g GROUP BY symbol")
+def latest_signals(spark: SparkSession, d: str) -> DataFrame:
+    """The breakout signal of each symbol's last bar; 0 for none."""
+    return last_signals(_DONCHIAN.apply(bars(spark, d), S).na.fill(0.0, ["signal"]), S)
+
+
+@query("""
+    WITH l AS (SELECT recording_id, ticker_id, arg_max(filled, report_id) AS f, arg_max(remaining, report_id) AS r FROM exec_reports WHERE ticker_id <> -1 GROUP BY ALL)
+    SELECT recording_id, count(*) AS n_tickers, CAST(sum(f) AS BIGINT) AS realized, CAST(sum(r) AS BIGINT) AS unrealized FROM l GROUP BY recording_id
+""")
+def latest_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Latest report of each ticker, summed by recording; filled and remaining stand for realised and unrealised profit."""
+    out = latest_pnl(table(spark, d, "exec_reports"), ["recording_id"], "ticker_id", "report_id", "filled", "remaining")
+    return out.withColumnsRenamed({"filled": "realized", "remaining": "unrealized"})
+
+
+@query("SELECT CAST(floor((received_us / 1000000.0 - 6 * 3600) / 86400) AS BIGINT) AS day, count(*) AS n_reports FROM exec_reports WHERE received_us IS NOT NULL GROUP BY ALL")
+def reports_by_day(spark: SparkSession, d: str) -> DataFrame:
+    """Reports by day, a day beginning at six."""
+    day = day_number(F.col("received_us") / 1e6, 6)
+    return table(spark, d, "exec_reports").where("received_us IS NOT NULL").groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n_reports"))
+
+
+@query("""
+    WITH m AS (SELECT *, CASE ticker_id % 3 WHEN 0 THEN 'TRADE' WHEN 1 THEN 'TICK_L1' ELSE 'TICK_L2' END AS mode FROM instruments),
+    t AS (SELECT seq, ticker_id, 4 AS kind FROM trades UNION ALL SELECT seq, ticker_id, kind FROM l2_updates)
+    SELECT t.kind, m.mode, count(*) AS n_ticks FROM t JOIN m USING (ticker_id) WHERE (kind = 4 AND mode <> 'TICK_L2') OR (kind <> 4 AND mode <> 'TRADE') GROUP BY ALL
+""")
+def ticks_by_mode(spark: SparkSession, d: str) -> DataFrame:
+    """Ticks that reach the engine if a third of the tickers want trades only, and a third the book only."""
+    mode = F.element_at(F.array(F.lit("TRADE"), F.lit("TICK_L1"), F.lit("TICK_L2")), F.pmod("ticker_id", F.lit(3)) + 1)
+    modes = table(spark, d, "instruments").select("ticker_id", mode.alias("mode"))
+    ticks = table(spark, d, "trades").select("seq", "ticker_id", F.lit(4).alias("kind")).unionByName(table(spark, d, "l2_updates").select("seq", "ticker_id", "kind"))
+    return routed(ticks, modes, ["ticker_id"], "kind").join(modes, "ticker_id").groupBy("kind", "mode").agg(F.count(F.lit(1)).alias("n_ticks"))
+
+
+@query(f"""
+    WITH {B}, k AS (SELECT count(DISTINCT symbol) AS k FROM b), m AS (SELECT ts, count(*) AS n_rows, count(DISTINCT symbol) AS n_series FROM b GROUP BY ts)
+    SELECT ts, n_rows, n_series FROM m, k WHERE n_rows <> k OR n_series <> k
+""")
+def unaligned_minutes(spark: SparkSession, d: str) -> DataFrame:
+    """Minutes that not all symbols have a bar of."""
+    return permute.unaligned_series(bars(spark, d), S)
+
+
+@query(f"""
+    WITH {B}, n AS (SELECT *, row_number() OVER {W} - 1 AS rw, CASE WHEN volume <> 0 THEN ln(greatest(volume, 1e-10)) END AS lv FROM b),
+    cp AS (SELECT n.*, coalesce(lv - lag(lv) OVER {W}, 0) AS mv, first_value(lv) OVER {W} AS v0 FROM n),
+    i AS (SELECT c.symbol, p.p, c.mv, c.v0, row_number() OVER (PARTITION BY p.p, c.symbol ORDER BY md5(concat_ws('-', 'in', p.p, c.rw)), c.rw) AS slot FROM cp c, (SELECT unnest(generate_series(1, 4)) AS p) p WHERE c.rw > 0),
+    x AS (SELECT *, exp(v0 + sum(mv) OVER (PARTITION BY p, symbol ORDER BY slot)) AS v FROM i)
+    SELECT symbol, p AS perm_id, count(v) AS n_volumes, round(ln(sum(v * slot) / sum(slot)), 6) AS centre FROM x GROUP BY ALL
+""")
+def permuted_volumes(spark: SparkSession, d: str) -> DataFrame:
+    """Of the volumes that go along with four permuted series, by symbol: their number, and the logarithm of their mean weighted by place."""
+    own = Series([permute.PERM, "symbol"], S.order)
+    out = permute.permute_bars(bars(spark, d), S, 4, extra=["volume"]).withColumn("slot", F.row_number().over(own.all()) - 1).where("slot > 0")
+    return out.groupBy("symbol", "perm_id").agg(F.count("volume").alias("n_volumes"), F.round(F.log(F.sum(F.col("volume") * F.col("slot")) / F.sum("slot")), 6).alias("centre"))
