@@ -38,3 +38,10 @@ def test_bounds_extend_only_outward(spark):
 
 def test_empty(spark):
     assert grid(spark, []) == []
+
+
+def test_one_stray_time_makes_no_long_row(spark):
+    rows = [(1, 0, 1.0), (1, 60_000_000 * 20_000, 2.0), (1, 60_000_000 * 20_002, 3.0)]
+    out = regular_grid(spark.createDataFrame(rows, "k int, t long, v double"), ["k"], "t", "v", 60_000_000)
+    got = [r.bucket_us // 60_000_000 for r in out.where("synthetic").orderBy("bucket_us").collect()]
+    assert got == [*range(1, 20_000), 20_001]

@@ -2,6 +2,8 @@ import struct
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemark.sources import readers, wire
 from tidemark.sources.synthetic import synthetic_bars, synthetic_trades
 
@@ -61,3 +63,26 @@ def test_journal(spark, tmp_path):
     readers.append_fills(f, f"{tmp_path}/j")
     readers.append_fills(f, f"{tmp_path}/j")
     assert spark.read.parquet(f"{tmp_path}/j").count() == 2
+
+
+def test_limit_orders_need_a_price(spark):
+    rows = [(10.0, 1, 5, 2, 7), (0.0, 1, 5, 1, 7), (0.0, 1, 5, 2, 7)]
+    good, df = (spark.createDataFrame(r, "limit_price double, ticker_id int, target int, order_type int, strategy_id int") for r in (rows[:2], rows))
+    assert wire.encode(good, wire.TARGET).where("message IS NOT NULL").count() == 2
+    with pytest.raises(Exception, match="limit order"):
+        wire.encode(df, wire.TARGET).collect()
+
+
+def test_indexed_json_csv_types_and_counters(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"0": {"open": 1.5, "close": 2}, "7": {"open": null, "close": 3.25}}')
+    got = readers.read_indexed_json(spark, f"{tmp_path}/a.json", "open double, close double").collect()
+    assert sorted(map(tuple, got)) == [("0", 1.5, 2.0), ("7", None, 3.25)]
+    (tmp_path / "b.csv").write_text("n,x,s\n1,2.5,a\n2,3.5,b\n")
+    df = readers.read_table(spark, f"{tmp_path}/b.csv")
+    assert [t for _, t in df.dtypes] == ["int", "double", "string"]
+    seen_df, seen = readers.counted(df, "seen", total=F.sum("x"))
+    seen_df.collect()
+    assert seen.get == {"rows": 2, "total": 6.0}
+    with pytest.raises(ValueError):
+        readers.read_table(spark, "a.txt")
+    assert [tuple(r) for r in readers.ticker_ids(["B", "A"], spark).collect()] == [(1, "B"), (2, "A")]

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Buckets of a gap that are exploded from one row.
+SPAN = 4096
+
+
 def bucket_start(us, step_us: int):
     """Start of the bucket of ``step_us`` microseconds that holds a time, also before the epoch."""
     return us - F.pmod(us, F.lit(step_us))
@@ -46,7 +50,8 @@ def regular_grid(
     bucket.
 
     The readings are reduced to buckets with partial aggregation before the shuffle,
-    so a busy key costs no more than its grid. Only empty grid times are exploded.
+    so a busy key costs no more than its grid. Only empty grid times are exploded, a long gap
+    first into spans of ``SPAN`` buckets, so that no row holds a whole gap.
     """
     ks = list(keys)
     order = F.struct(F.col(time_us), F.col(seq)) if seq else F.col(time_us)
@@ -67,13 +72,19 @@ def regular_grid(
         paired = paired.join(b, same, "left").drop(*(f"__tm_bk{i}" for i in range(len(ks))))
     else:
         paired = paired.withColumns({"__tm_from": F.lit(None).cast("long"), "__tm_to": F.lit(None).cast("long")})
-    step, none = F.lit(step_us).cast("long"), F.array().cast("array<bigint>")
+    step, none = F.lit(step_us).cast("long"), F.array().cast("array<struct<a:bigint,z:bigint>>")
     first, stop = bucket_start(F.col("__tm_from"), step_us), bucket_start(F.col("__tm_to"), step_us)
     b_ = F.col("__tm_b")
-    ahead = F.when(F.col("__tm_prev").isNull() & (first < b_), F.sequence(first, b_ - step, step)).otherwise(none)
+    big = F.lit(SPAN * step_us).cast("long")
+
+    def spans(low, high):
+        return F.transform(F.sequence(low, high, big), lambda x: F.struct(x.alias("a"), F.least(x + big - step, high).alias("z")))
+
     until = F.coalesce("__tm_next", F.when(stop > b_, stop + step))
-    behind = F.when(until > b_ + step, F.sequence(b_ + step, until - step, step)).otherwise(none)
-    exploded = paired.withColumn("__tm_g", F.explode(F.concat(ahead, F.array(b_), behind)))
+    ahead = F.when(F.col("__tm_prev").isNull() & (first < b_), spans(first, b_ - step)).otherwise(none)
+    behind = F.when(until > b_ + step, spans(b_ + step, until - step)).otherwise(none)
+    parts = paired.withColumn("__tm_p", F.explode(F.concat(ahead, F.array(F.struct(b_.alias("a"), b_.alias("z"))), behind)))
+    exploded = parts.withColumn("__tm_g", F.explode(F.sequence("__tm_p.a", "__tm_p.z", step)))
     g = F.col("__tm_g")
     filled = g != b_
     gap = F.when(g > b_, (until - b_) / step - 1).when(g < b_, (b_ - first) / step).cast("long")

@@ -15,7 +15,8 @@ from tidemark.operators.live_bars import last_trade_pairs, live_bars, live_count
 from tidemark.operators.trades import equity_curve, last_signals, latest_pnl, paper_bars, paper_fills, paper_summary, performance, trade_pnl_curve, trade_table
 from tidemark.operators.validate import hybrid_walk_forward
 from tidemark.operators.windows import Series, in_segments
-from tidemark.sources import wire
+from tidemark.session import new_path
+from tidemark.sources import readers, wire
 from tidemark.sources.tables import table
 
 MINUTE = 60_000_000
@@ -851,3 +852,83 @@ def permuted_volumes(spark: SparkSession, d: str) -> DataFrame:
     own = Series([permute.PERM, "symbol"], S.order)
     out = permute.permute_bars(bars(spark, d), S, 4, extra=["volume"]).withColumn("slot", F.row_number().over(own.all()) - 1).where("slot > 0")
     return out.groupBy("symbol", "perm_id").agg(F.count("volume").alias("n_volumes"), F.round(F.log(F.sum(F.col("volume") * F.col("slot")) / F.sum("slot")), 6).alias("centre"))
+
+
+def _kept(df: DataFrame, name: str, write) -> str:
+    """Writes a table to the shared folder by ``write(df, path)`` and gives its path."""
+    path = new_path(df.sparkSession, name)
+    write(df, path)
+    return path
+
+
+@query("SELECT symbol, date_trunc('second', ts) AS ts, seq, open, high, low, close, volume FROM bars WHERE hash(symbol) IS NOT NULL AND epoch_us(ts) >= (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 FROM bars)")
+def stored_bars(spark: SparkSession, d: str) -> DataFrame:
+    """Bars written by interval and symbol and read back, from the middle of time on."""
+    raw = table(spark, d, "bars").select("symbol", "ts", "seq", "open", "high", "low", "close", "volume")
+    middle = raw.agg(F.expr("timestamp_micros((min(unix_micros(cast(ts AS timestamp))) + max(unix_micros(cast(ts AS timestamp)))) div 2)").cast("timestamp_ntz")).first()[0]
+    root = _kept(raw.withColumn("interval", F.lit("1m")), "bars", readers.write_bars)
+    return readers.load_bars(spark, root, interval="1m", start=middle).select(*raw.columns)
+
+
+@query("SELECT symbol, ts, seq, open, close FROM bars WHERE year(ts) BETWEEN 2000 AND 2100 AND ts < '2100-01-01'")
+def bars_of_years(spark: SparkSession, d: str) -> DataFrame:
+    """Bars of a range of years, read by a file's suffix."""
+    rows = readers.read_table(spark, f"{d}/bars.parquet").select("symbol", "ts", "seq", "open", "close")
+    return readers.between(readers.in_years(rows, "ts", 2000, 2100), "ts", end="2100-01-01")
+
+
+@query("SELECT ticker_id, symbol, exchange, tick_size FROM instruments")
+def instruments_as_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Instruments written as CSV with a header and read back with the types inferred."""
+    raw = table(spark, d, "instruments").select("ticker_id", "symbol", "exchange", "tick_size")
+    path = _kept(raw, "instruments", lambda df, p: df.write.csv(p + ".csv", header=True))
+    return readers.read_table(spark, path + ".csv")
+
+
+@query(f"""
+    WITH {_PAPER_SQL} SELECT symbol, count(*) AS n_fills, round(sum(close), 4) AS turnover FROM nt WHERE flip > 0 GROUP BY symbol
+""")
+def stored_fills(spark: SparkSession, d: str) -> DataFrame:
+    """The journal of the paper run, appended to a file in two parts and read back."""
+    fills = paper_fills(_papered(spark, d), S).withColumn("symbol_side", F.concat_ws("/", "symbol", "side")).drop("side").withColumnRenamed("symbol_side", "side")
+    path = new_path(spark, "fills")
+    early = F.pmod(F.hash("symbol"), F.lit(2)) == 0
+    for part in (fills.where(early), fills.where(~early)):
+        readers.append_fills(part, path)
+    back = spark.read.parquet(path)
+    return back.groupBy(F.split("side", "/")[0].alias("symbol")).agg(F.count(F.lit(1)).alias("n_fills"), F.round(F.sum("price"), 4).alias("turnover"))
+
+
+@query("""
+    SELECT symbol, CAST(row_number() OVER (ORDER BY symbol) AS INTEGER) AS ticker_id, n FROM (SELECT symbol, count(*) AS n FROM bars GROUP BY symbol)
+""")
+def ordinal_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids from 1 by the order of a configuration, here the sorted symbols, joined to the bars."""
+    b = table(spark, d, "bars").select("symbol")
+    ids = readers.ticker_ids([r[0] for r in b.select("symbol").distinct().orderBy("symbol").collect()], spark)
+    return b.join(ids, "symbol").groupBy("symbol", "ticker_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+    WITH q AS (SELECT recording_id, ticker_id, timestamp AS t FROM ohlc),
+    e AS (SELECT r.report_id, r.received_us, min(q.t) AS entry FROM exec_reports r LEFT JOIN q ON r.recording_id = q.recording_id AND r.ticker_id = q.ticker_id AND q.t >= r.received_us - 30000000 GROUP BY ALL)
+    SELECT report_id FROM e WHERE entry IS NULL OR entry < received_us
+""")
+def early_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Reports whose entry, taken half a minute too early, lies before them, or that have none: what the check of labels must find."""
+    e = table(spark, d, "exec_reports").select("report_id", *_KEY, "received_us", (F.col("received_us") - 30_000_000).alias("from_us"))
+    near = asof_forward(e, table(spark, d, "ohlc"), _KEY, "from_us", "report_id", "timestamp", "bar_id")
+    labels = e.join(near.select(F.col("left_id").alias("report_id"), "distance"), "report_id", "left").withColumn("entry_us", F.col("from_us") + F.col("distance"))
+    return pit.entries_before_events(labels, "received_us", "entry_us").select("report_id")
+
+
+@query("""
+    WITH o AS (SELECT recording_id, ticker_id, received_us AS t FROM exec_reports),
+    c AS (SELECT e.bar_id, count(o.t) AS n FROM ohlc e LEFT JOIN o ON o.recording_id = e.recording_id AND o.ticker_id = e.ticker_id AND o.t > e.timestamp - 600000000 AND o.t <= e.timestamp WHERE e.timestamp IS NOT NULL GROUP BY ALL)
+    SELECT bar_id, n AS n_observations FROM c WHERE n < 2
+""")
+def unsupported_bars(spark: SparkSession, d: str) -> DataFrame:
+    """Vendor bars with under two reports in the ten minutes before them."""
+    e = table(spark, d, "ohlc").where("timestamp IS NOT NULL").select("bar_id", *_KEY, F.col("timestamp").alias("t"))
+    o = table(spark, d, "exec_reports").select(*_KEY, F.col("received_us").alias("t"))
+    return pit.unsupported_events(e, o, _KEY, "t", 600_000_000, 2).select("bar_id", "n_observations")

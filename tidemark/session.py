@@ -55,7 +55,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     the results that read it are no longer needed; at the latest it goes when the
     session's file system closes.
     """
-    path = _new_path(df.sparkSession, name)
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -63,7 +63,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def written_apart(df: DataFrame, name: str, kind: str) -> tuple[DataFrame, DataFrame]:
     """As ``written``, but the rows whose column ``kind`` is 0 and 1 as two tables, so that the few of one kind are read without the many of the other."""
     spark = df.sparkSession
-    path = _new_path(spark, name)
+    path = new_path(spark, name)
     setting = "spark.sql.maxConcurrentOutputFileWriters"
     before = spark.conf.get(setting, None)
     spark.conf.set(setting, "4")  # two open files a task, and rows stay in order
@@ -88,7 +88,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def _new_path(spark: SparkSession, name: str) -> str:
+def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BAR_COLUMNS = ("ts", "open", "high", "low", "close", "volume")
@@ -34,7 +34,11 @@ class ObjectStore:
 
 
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """A file or folder by its suffix: parquet, pq, orc, csv (with header), json. CSV without a schema is read as strings."""
+    """A file or folder by its suffix: parquet, pq, orc, csv (with header), json (a row a line), xlsx and xls.
+
+    CSV without a schema has its types inferred. Excel files are read whole by pandas, on
+    the driver, and need its reader for them; they are small by their format.
+    """
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     reader = spark.read.schema(schema) if schema else spark.read
     if suffix in ("parquet", "pq"):
@@ -42,12 +46,34 @@ def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     if suffix == "orc":
         return reader.orc(path)
     if suffix == "csv":
-        return reader.csv(path, header=True)
+        return reader.csv(path, header=True, inferSchema=schema is None)
     if suffix == "json":
         return reader.json(path)
+    if suffix in ("xlsx", "xls"):
+        import pandas as pd
+
+        return spark.createDataFrame(pd.read_excel(path.removeprefix("file://")), schema)
     raise ValueError(f"no reader for .{suffix}")
 
 
+def read_indexed_json(spark: SparkSession, path: str, columns: str, index: str = "index") -> DataFrame:
+    """A JSON object of rows by their index, ``{"0": {"open": 1, ...}, ...}``, one document a file: ``index`` (a string) and the ``columns`` of a schema like 'open double, close double'."""
+    text = spark.read.text(path, wholetext=True)
+    rows = F.explode(F.from_json("value", f"map<string, struct<{columns.replace(' ', ': ').replace(',:', ',')}>>"))
+    return text.select(rows.alias(index, "__tm_row")).select(index, "__tm_row.*")
+
+
+def ticker_ids(symbols: Sequence[str], spark: SparkSession) -> DataFrame:
+    """(``ticker_id`` from 1, ``symbol``) in the order of a configuration."""
+    return spark.createDataFrame([(i + 1, s) for i, s in enumerate(symbols)], "ticker_id int, symbol string")
+
+
+def counted(df: DataFrame, name: str, **columns) -> tuple[DataFrame, Observation]:
+    """``df`` with counters that are filled while any job runs over it, without a pass of their own: rows, and an aggregate for each of ``columns``."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in columns.items())), seen
+
+
 def between(df: DataFrame, time: str, start=None, end=None) -> DataFrame:
     """Rows of [start, end); either bound may be missing. On a bare column this reaches the scan."""
     if start is not None:

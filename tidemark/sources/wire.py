@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Version and layouts of the protocol, little-endian without padding but as named.
 PROTOCOL_VERSION = 3
@@ -37,6 +38,8 @@ EXECUTION = Layout("execution", (("price", "<f8"), ("ticker_id", "<i4"), ("order
 POSITION = Layout("position", (("ticker_id", "<i4"), ("position", "<i4"), ("average_cost", "<f8")))
 TARGET = Layout("target", (("limit_price", "<f8"), ("ticker_id", "<i4"), ("target", "<i4"), ("order_type", "<i4"), ("strategy_id", "<i4")))
 HEARTBEAT = Layout("heartbeat", (("seq", "<u4"), ("timestamp_us", "<i8")))
+#: Fixed value: the order type of a limit order, which needs a price above 0.
+LIMIT_ORDER = 2
 LAYOUTS = {x.name: x for x in (TRADE, DEPTH, EXECUTION, POSITION, TARGET, HEARTBEAT)}
 
 
@@ -68,8 +71,11 @@ def decode(messages: DataFrame, column: str, layout: Layout, errors: str = "rais
 
 
 def encode(df: DataFrame, layout: Layout, out: str = "message") -> DataFrame:
-    """``df`` with the message made of its columns of the layout's names; a row with a null among them gets a null message."""
+    """``df`` with the message made of its columns of the layout's names; a row with a null among them gets a null message. A limit order without a price above 0 raises."""
     names = [n for n, _ in layout.fields]
+    if layout is TARGET:
+        wrong = (F.col("order_type") == LIMIT_ORDER) & ~F.coalesce(F.col("limit_price") > 0, F.lit(False))
+        df = df.withColumn("order_type", F.when(wrong, F.raise_error(F.lit("a limit order needs a price above 0")).cast("int")).otherwise(F.col("order_type")))
 
     def run(batches):
         for batch in batches:
