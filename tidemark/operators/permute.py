@@ -49,8 +49,10 @@ def permute_bars(bars: DataFrame, s: Series, permutations: int, start_index: int
     as 1e-10; a missing value at the start stays missing), 'preserve' leaves them as they were,
     'sync_close' too but for ``futures``, which becomes the permuted close.
 
-    Each permuted close is the start's log plus a running sum of moves; the moves come
-    by a join on the permuted row number, whose two sides are hash-partitioned alike.
+    Each permuted close is the start's log plus a running sum of moves. The copies are
+    shuffled once, by permutation and series; numbering, putting the moves of a slot
+    together and summing them up all keep that partitioning, and so do a strategy's
+    windows on the result.
     """
     if extra_mode not in EXTRA_MODES:
         raise ValueError(f"extra_mode must be one of {EXTRA_MODES}")
@@ -63,30 +65,40 @@ def permute_bars(bars: DataFrame, s: Series, permutations: int, start_index: int
     for c in shuffled:
         safe = _positive_log(c)
         moves = moves.withColumn(f"__tm_x_{c}", F.coalesce(safe - F.lag(safe).over(s.all()), F.lit(0.0)))
-    moves = moves.where(F.col("__tm_row") > start_index)
+    inside = ["__tm_c", "__tm_h", "__tm_l", *(f"__tm_x_{c}" for c in shuffled)]
+    own = [*s.order, "open", "high", "low", "close", *columns]
     ids = bars.sparkSession.range(1, permutations + 1).withColumnRenamed("id", PERM)
-    copies = moves.crossJoin(F.broadcast(ids))  # a stated number of copies
-    by = Window.partitionBy(PERM, *s.keys)
-    # slot n of the permuted series takes the moves that come n-th in shuffled order
-    inside = copies.withColumn("__tm_slot", F.row_number().over(by.orderBy(digest_order(s, "in"), "__tm_row")) + start_index)
-    between = copies.withColumn("__tm_slot", F.row_number().over(by.orderBy(digest_order(s, "out"), "__tm_row")) + start_index)
-    key = [PERM, *s.keys, "__tm_slot"]
-    both = inside.select(*key, "__tm_c", "__tm_h", "__tm_l", *(f"__tm_x_{c}" for c in shuffled)).join(between.select(*key, "__tm_o"), key)
-    base = rows.where(F.col("__tm_row") == start_index).select(*s.keys, F.log("close").alias("__tm_base"), *(_positive_log(c).alias(f"__tm_b_{c}") for c in shuffled))
-    upto = Window.partitionBy(PERM, *s.keys).orderBy("__tm_slot").rowsBetween(Window.unboundedPreceding, 0)
-    path = both.join(base, s.keys).withColumn("__tm_close", F.col("__tm_base") + F.sum(F.col("__tm_o") + F.col("__tm_c")).over(upto))
-    opened = F.col("__tm_close") - F.col("__tm_c")
-    path = path.select(
-        *key, F.exp(opened).alias("open"), F.exp(opened + F.col("__tm_h")).alias("high"), F.exp(opened + F.col("__tm_l")).alias("low"), F.exp("__tm_close").alias("close"),
-        *(F.exp(F.col(f"__tm_b_{c}") + F.sum(f"__tm_x_{c}").over(upto)).alias(c) for c in shuffled),
+    part = [PERM, *s.keys]
+    copies = moves.select(*s.keys, "__tm_row", "__tm_o", *inside, *own).crossJoin(F.broadcast(ids)).repartition(*part)  # a stated number of copies
+    fixed = F.col("__tm_row") <= start_index
+    by = Window.partitionBy(*part, fixed)
+    # slot n of the permuted series takes the moves that come n-th in shuffled order; what comes from which row is put together within the partition
+    slots = {f"__tm_{k}": F.when(fixed, F.col("__tm_row")).otherwise(F.row_number().over(by.orderBy(digest_order(s, k), "__tm_row")) + start_index) for k in ("in", "out")}
+    none = lambda cols: [F.lit(None).cast(copies.schema[c].dataType).alias(c) for c in cols]
+    pieces = F.array(
+        F.struct(F.col("__tm_in").alias("__tm_slot"), *inside, *none(["__tm_o"]), F.lit(False).alias("__tm_mine"), *none(own)),
+        F.struct(F.col("__tm_out").alias("__tm_slot"), *none(inside), "__tm_o", F.lit(False).alias("__tm_mine"), *none(own)),
+        F.struct(F.col("__tm_row").alias("__tm_slot"), *none(inside), *none(["__tm_o"]), F.lit(True).alias("__tm_mine"), *own),
+    )
+    split = copies.withColumns(slots).select(*part, F.explode(pieces).alias("__tm_e")).select(*part, "__tm_e.*")
+    met = split.groupBy(*part, "__tm_slot").agg(
+        *(F.max(c).alias(c) for c in ["__tm_o", *inside]), F.max_by(F.struct(*own), "__tm_mine").alias("__tm_own"),
     )
-    when = rows.select(*s.keys, F.col("__tm_row").alias("__tm_slot"), *s.order, *(c for c in columns if c not in shuffled))
-    changed = path.join(when, [*s.keys, "__tm_slot"])
+    upto = Window.partitionBy(*part).orderBy("__tm_slot").rowsBetween(Window.unboundedPreceding, 0)
+    moved = F.col("__tm_slot") > start_index
+    start = F.col("__tm_slot") == start_index
+    base = F.last(F.when(start, F.log("__tm_own.close")), ignorenulls=True).over(upto)
+    path = met.withColumn("__tm_close", base + F.sum(F.when(moved, F.col("__tm_o") + F.col("__tm_c")).otherwise(0.0)).over(upto))
+    opened = F.col("__tm_close") - F.col("__tm_c")
+    made = {"open": opened, "high": opened + F.col("__tm_h"), "low": opened + F.col("__tm_l"), "close": F.col("__tm_close")}
+    for c in shuffled:
+        from_ = F.last(F.when(start, F.struct(_positive_log(f"__tm_own.{c}").alias("v"))), ignorenulls=True).over(upto)["v"]
+        made[c] = from_ + F.sum(F.when(moved, F.col(f"__tm_x_{c}")).otherwise(0.0)).over(upto)
+    values = {c: F.when(moved, F.exp(x)).otherwise(F.col(f"__tm_own.{c}")) for c, x in made.items()}
+    kept = {c: F.col(f"__tm_own.{c}") for c in own if c not in values}
     if extra_mode == "sync_close" and "futures" in columns:
-        changed = changed.withColumn("futures", F.col("close"))
-    kept = rows.where(F.col("__tm_row") <= start_index).crossJoin(F.broadcast(ids)).withColumnRenamed("__tm_row", "__tm_slot")
-    cols = [PERM, *s.keys, *s.order, "open", "high", "low", "close", *extra]
-    return changed.select(cols).unionByName(kept.select(cols))
+        kept["futures"] = F.when(moved, values["close"]).otherwise(F.col("__tm_own.futures"))
+    return path.select(*part, *({**kept, **values}[c].alias(c) for c in own))
 
 
 def _positive_log(c: str) -> Column:
