@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.joins import asof_forward, interval_join
-from tidemark.session import written
+from tidemark.operators.joins import interval_join
 
 
 def triple_barrier(
@@ -24,22 +23,21 @@ def triple_barrier(
     quote in the horizon. No row for events with no quote in their horizon, or whose entry is the
     series' last quote. Result: keys, ``event_id``, ``t_start``, ``label``, ``t_end``,
     ``realized_ret`` (natural log of exit over entry). Events and quotes with nulls are
-    left out, repeated events give one label; quotes at one time are ordered by ``quote_seq``, a BIGINT.
+    left out; quotes at one time are ordered by ``quote_seq``.
 
-    An event's entry comes by a forward as-of join; events then meet quotes by an interval
-    join on time bins as wide as the horizon, and one aggregation per event finds the first
-    touches, without sorting its quotes.
+    Events meet quotes by an interval join on time bins as wide as the horizon. A window
+    over each event's quotes gives its entry, and an aggregation, which needs no further
+    shuffle, the first touches.
     """
     ks = list(keys)
     e = events.select(*ks, F.col(event_id).alias("event_id"), F.col(event_us).cast("long").alias("__tm_e"), F.col(direction).alias("__tm_d")).na.drop()
-    e = written(e.distinct().withColumn("__tm_row", F.monotonically_increasing_id()), "events")
-    q = quotes.select(*ks, F.col(quote_us).cast("long").alias("__tm_q"), F.col(quote_seq).cast("long").alias("__tm_s"), F.col(mid).cast("double").alias("__tm_m")).na.drop()
+    q = quotes.select(*ks, F.col(quote_us).cast("long").alias("__tm_q"), F.col(quote_seq).alias("__tm_s"), F.col(mid).cast("double").alias("__tm_m")).na.drop()
     last = q.groupBy(*ks).agg(F.max(F.struct("__tm_q", "__tm_s")).alias("__tm_final"))
-    near = asof_forward(e, q, ks, "__tm_e", "__tm_row", "__tm_q", "__tm_s", horizon_us)
-    at = near.join(e.select("__tm_row", "__tm_e"), F.col("left_id") == F.col("__tm_row")).select(*ks, "__tm_row", (F.col("__tm_e") + F.col("distance")).alias("__tm_q"), F.col("right_id").alias("__tm_s"))
-    entries = at.join(q, [*ks, "__tm_q", "__tm_s"]).groupBy("__tm_row").agg(F.min(F.struct("__tm_q", "__tm_s", "__tm_m")).alias("__tm_entry"))
-    spans = e.join(entries, "__tm_row").withColumn("__tm_until", F.col("__tm_e") + F.lit(horizon_us))
-    entry = interval_join(q, spans, ks, "__tm_q", "__tm_e", "__tm_until", horizon_us)
+    spans = e.withColumn("__tm_until", F.col("__tm_e") + F.lit(horizon_us))
+    pairs = interval_join(q, spans, ks, "__tm_q", "__tm_e", "__tm_until", horizon_us)
+    at = F.struct("__tm_q", "__tm_s")
+    per_event = Window.partitionBy(*ks, "event_id", "__tm_e", "__tm_d")
+    entry = pairs.withColumn("__tm_entry", F.min(F.struct("__tm_q", "__tm_s", "__tm_m")).over(per_event))
     base, m = F.col("__tm_entry.__tm_m"), F.col("__tm_m")
     d = F.when(F.col("__tm_d") > 0, 1.0).otherwise(-1.0)
     sign = F.col("__tm_d").cast("double")
@@ -47,7 +45,7 @@ def triple_barrier(
     won = F.when(d > 0, m >= take).otherwise(m <= take)
     lost = F.when(d > 0, m <= stop).otherwise(m >= stop)
     touch = F.struct("__tm_q", "__tm_s", "__tm_m")
-    found = entry.groupBy(*ks, "__tm_row", "event_id").agg(
+    found = entry.groupBy(*ks, "event_id", "__tm_e", "__tm_d").agg(
         F.first("__tm_entry").alias("__tm_entry"),
         F.min(F.when(won, touch)).alias("__tm_won"),
         F.min(F.when(lost, touch)).alias("__tm_lost"),

@@ -76,28 +76,28 @@ def permute_bars(bars: DataFrame, s: Series, permutations: int, start_index: int
     slots = {f"__tm_{k}": F.when(fixed, F.col("__tm_row")).otherwise(F.row_number().over(by.orderBy(digest_order(s, k), "__tm_row")) + start_index) for k in ("in", "out")}
     none = lambda cols: [F.lit(None).cast(copies.schema[c].dataType).alias(c) for c in cols]
     pieces = F.array(
-        F.struct(F.col("__tm_in").alias("__tm_slot"), *inside, *none(["__tm_o"]), F.lit(False).alias("__tm_mine"), *none(own)),
-        F.struct(F.col("__tm_out").alias("__tm_slot"), *none(inside), "__tm_o", F.lit(False).alias("__tm_mine"), *none(own)),
-        F.struct(F.col("__tm_row").alias("__tm_slot"), *none(inside), *none(["__tm_o"]), F.lit(True).alias("__tm_mine"), *own),
+        F.struct(F.col("__tm_in").alias("__tm_slot"), *inside, *none(["__tm_o"]), *none(own)),
+        F.struct(F.col("__tm_out").alias("__tm_slot"), *none(inside), "__tm_o", *none(own)),
+        F.struct(F.col("__tm_row").alias("__tm_slot"), *none(inside), *none(["__tm_o"]), *own),
     )
     split = copies.withColumns(slots).select(*part, F.explode(pieces).alias("__tm_e")).select(*part, "__tm_e.*")
     met = split.groupBy(*part, "__tm_slot").agg(
-        *(F.max(c).alias(c) for c in ["__tm_o", *inside]), F.max_by(F.struct(*own), "__tm_mine").alias("__tm_own"),
+        *(F.max(c).alias(c) for c in ["__tm_o", *inside]), *(F.max(c).alias(f"__tm_own_{c}") for c in own),
     )
     upto = Window.partitionBy(*part).orderBy("__tm_slot").rowsBetween(Window.unboundedPreceding, 0)
     moved = F.col("__tm_slot") > start_index
     start = F.col("__tm_slot") == start_index
-    base = F.last(F.when(start, F.log("__tm_own.close")), ignorenulls=True).over(upto)
+    base = F.last(F.when(start, F.log("__tm_own_close")), ignorenulls=True).over(upto)
     path = met.withColumn("__tm_close", base + F.sum(F.when(moved, F.col("__tm_o") + F.col("__tm_c")).otherwise(0.0)).over(upto))
     opened = F.col("__tm_close") - F.col("__tm_c")
     made = {"open": opened, "high": opened + F.col("__tm_h"), "low": opened + F.col("__tm_l"), "close": F.col("__tm_close")}
     for c in shuffled:
-        from_ = F.last(F.when(start, F.struct(_positive_log(f"__tm_own.{c}").alias("v"))), ignorenulls=True).over(upto)["v"]
+        from_ = F.last(F.when(start, F.struct(_positive_log(f"__tm_own_{c}").alias("v"))), ignorenulls=True).over(upto)["v"]
         made[c] = from_ + F.sum(F.when(moved, F.col(f"__tm_x_{c}")).otherwise(0.0)).over(upto)
-    values = {c: F.when(moved, F.exp(x)).otherwise(F.col(f"__tm_own.{c}")) for c, x in made.items()}
-    kept = {c: F.col(f"__tm_own.{c}") for c in own if c not in values}
+    values = {c: F.when(moved, F.exp(x)).otherwise(F.col(f"__tm_own_{c}")) for c, x in made.items()}
+    kept = {c: F.col(f"__tm_own_{c}") for c in own if c not in values}
     if extra_mode == "sync_close" and "futures" in columns:
-        kept["futures"] = F.when(moved, values["close"]).otherwise(F.col("__tm_own.futures"))
+        kept["futures"] = F.when(moved, values["close"]).otherwise(F.col("__tm_own_futures"))
     return path.select(*part, *({**kept, **values}[c].alias(c) for c in own))
 
 
