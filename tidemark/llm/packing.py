@@ -14,7 +14,7 @@ from tidemark.operators.ordered import new_run
 from tidemark.session import dealt, task_count, written
 
 #: Tokens a lane is meant to hold: windows are filled lane by lane, each lane in one task.
-LANE_TOKENS = 4_000_000
+LANE_TOKENS = 20_000_000
 
 
 def default_vocabulary() -> str:
