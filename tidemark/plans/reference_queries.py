@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -425,11 +427,11 @@ def band_and_cross_signals(spark: SparkSession, d: str) -> DataFrame:
 _GRID = strategy.Strategy("donchian_grid", strategy.donchian, {"lookback": (12, 16, 20, 24, 32)}, holds=True)
 
 
-def _grid_sql(part: str, source: str, x: str = "g") -> str:
-    """Scores of the five lookbacks for each ``part`` of ``source``."""
+def _grid_sql(part: str, source: str, x: str = "g", lookbacks: Sequence[int] = _GRID.grid["lookback"]) -> str:
+    """Scores of the lookbacks, by default five, for each ``part`` of ``source``."""
     own = f"(PARTITION BY {part} ORDER BY ts, seq)"
     cols, ids = [], []
-    for i, n in enumerate(_GRID.grid["lookback"]):
+    for i, n in enumerate(lookbacks):
         w = f"(PARTITION BY {part} ORDER BY ts, seq ROWS BETWEEN {n - 1} PRECEDING AND 1 PRECEDING)"
         ready = f"count(close) OVER {w} >= {n - 1}"
         cols.append(f"CASE WHEN {ready} AND close > max(close) OVER {w} THEN 1.0 WHEN {ready} AND close < min(close) OVER {w} THEN -1.0 END AS d{i}")
@@ -452,6 +454,44 @@ def grid_search(spark: SparkSession, d: str) -> DataFrame:
     return strategy.grid_scores(bars(spark, d), S, _GRID).withColumn("score", F.round("score", 5))
 
 
+@query(f"WITH {B}, {_grid_sql('symbol', 'b', 'g', strategy.REGISTRY.get('donchian').grid['lookback'])} SELECT symbol, CAST(param_id AS INTEGER) AS param_id, round(score, 5) AS score FROM gs")
+def whole_grid_search(spark: SparkSession, d: str) -> DataFrame:
+    """Profit factor of all 157 breakout lookbacks of the built-in strategy, by symbol."""
+    return strategy.grid_scores(bars(spark, d), S, strategy.REGISTRY.get("donchian")).withColumn("score", F.round("score", 5))
+
+
+def _band_grid_sql(periods: Sequence[int], multipliers: Sequence[float]) -> str:
+    """Scores of all bands on closes that are a little apart."""
+    combos = [(n, k) for n in periods for k in multipliers]
+    dev = ", ".join(f"{full('avg', 'close', n)} AS a{n}, {full('stddev_samp', 'close', n)} AS s{n}" for n in periods)
+    raw = ", ".join(f"CASE WHEN close < a{n} - {k} * s{n} THEN 1.0 WHEN close > a{n} + {k} * s{n} THEN -1.0 END AS d{i}" for i, (n, k) in enumerate(combos))
+    held = ", ".join(f"last_value(d{i} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h{i}" for i in range(len(combos)))
+    moved = ", ".join(f"coalesce(lag(h{i}) OVER {W}, 0) * mv AS x{i}" for i in range(len(combos)))
+    union = " UNION ALL ".join(f"SELECT symbol, {i} AS param_id, coalesce(sum(x{i}) FILTER (WHERE x{i} > 0), 0) AS gain, coalesce(-sum(x{i}) FILTER (WHERE x{i} < 0), 0) AS loss FROM bm GROUP BY symbol" for i in range(len(combos)))
+    return f"""
+        {B.replace('FROM bars', 'FROM (SELECT * REPLACE (' + _APART + ' AS close) FROM bars)')},
+        ba AS (SELECT *, coalesce(ln(close) - ln(lag(close) OVER {W}), 0) AS mv, {dev} FROM b), br AS (SELECT symbol, ts, seq, mv, {raw} FROM ba),
+        bh AS (SELECT *, {held} FROM br), bm AS (SELECT *, {moved} FROM bh),
+        bs AS (SELECT *, CASE WHEN loss > 0 THEN gain / loss WHEN gain > 0 THEN 'inf'::DOUBLE ELSE 0 END AS score FROM ({union}))
+    """
+
+
+@query(f"WITH {_band_grid_sql(*strategy.REGISTRY.get('bollinger').grid.values())} SELECT symbol, CAST(param_id AS INTEGER) AS param_id, round(score, 5) AS score FROM bs")
+def whole_band_search(spark: SparkSession, d: str) -> DataFrame:
+    """Profit factor of all 120 bands of the built-in strategy, by symbol, on closes that are a little apart."""
+    b = bars(spark, d).withColumn("close", F.expr(_APART))
+    return strategy.grid_scores(b, S, strategy.REGISTRY.get("bollinger")).withColumn("score", F.round("score", 5))
+
+
+@query()
+def walk_forward_p_values(spark: SparkSession, d: str) -> DataFrame:
+    """Permutation test of the whole walk-forward, its choices included, against nine permuted series, by symbol."""
+    from tidemark.operators.validate import walk_forward_test
+
+    out = walk_forward_test(bars(spark, d), S, _GRID, 10, 120, 40)
+    return out.select("symbol", F.round("real_return", 6).alias("real_return"), "n_at_least", "p_value")
+
+
 def _walk_sql(source: str, lookback: int, step: int, x: str = "g") -> str:
     """CTEs: rows numbered (n), training slices (tr), choices (ch), and the rows with the chosen ``signal`` and its window (sg)."""
     held = " ".join(f"WHEN {i} THEN h{i}" for i in range(len(_GRID.grid["lookback"])))
