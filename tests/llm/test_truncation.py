@@ -127,8 +127,9 @@ def test_model_tells_ends_from_middles(spark):
     rows, _ = corpus(False)
     none = spark.sparkContext.broadcast(LanguageModel({}))
     model = EndModel.fit(spark.createDataFrame(rows, SCHEMA), "text", none)
-    assert model.log_odds("", "and nobody sold the old lantern") > model.log_odds("", "and nobody sold the old lant")
-    assert model.log_odds("", "was painted by the") < 0 and model.log_odds("zz", "abc") == 0.0
+    odds = model.log_odds(["", "", "", "zz", ""], ["and nobody sold the old lantern", "and nobody sold the old lant", "was painted by the", "abc", ""])
+    assert odds[0] > odds[1] and odds[2] < 0 and odds[3] == odds[4] == 0.0
+    assert model.log_odds([], []).tolist() == [] and model.log_odds([""], ["lantern"])[0] == pytest.approx(model.log_odds(["zz", ""], ["x", "lantern"])[1])
 
 
 def test_lines_not_first_words_are_plates(spark):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from hashlib import blake2b
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.folding import plain, redecoded
-from tidemark.llm.leakage import window_hashes
+from tidemark.llm.leakage import RollingHash, window_hashes
 from tidemark.session import dealt, written
 
 #: Context lengths of the model, and hash buckets of each: with the languages, a bound on its size.
@@ -173,22 +173,27 @@ class EndModel:
                 pair[1][level[at], cell[at]] = end[at]
         return cls(tables)
 
-    def log_odds(self, lang: str, context: str) -> float:
-        """Above 0: the context is more typical of an end. The characters are taken from the last backwards, each given those behind it."""
-        if lang not in self.tables or not context:
-            return 0.0
-        codes = _text_codes(context[-LEVELS[-1] :])
-        (mid, end), (m0, e0) = self.tables[lang], self.total[lang]
-        w, out = self.weight, 0.0
-        for level, k in enumerate(LEVELS):
-            if k > len(codes):
-                break
-            cell = int(_cells(codes[-k:], k)[0])
-            m, e = mid[level, cell], end[level, cell]
-            prior = (m + e + 0.5) / (m0 + e0 + 1)
-            out += np.log((e + w * prior) / (e0 + w)) - np.log((m + w * prior) / (m0 + w))
-            m0, e0 = m, e
-        return float(out)
+    def log_odds(self, langs: Sequence[str], contexts: Sequence[str]) -> np.ndarray:
+        """Above 0: a context is more typical of an end; 0 in a language without counts. The characters are taken from the last backwards, each given those behind it."""
+        longest = LEVELS[-1]
+        codes = _text_codes("".join(c[-longest:].rjust(longest, "\0") for c in contexts)).reshape(-1, longest)
+        size = np.array([min(len(c), longest) for c in contexts], dtype=np.int64)
+        out, names, w = np.zeros(len(size)), np.array(langs, dtype=object), self.weight
+        cells = [(RollingHash(codes[:, longest - k :].ravel()).stretches(np.arange(len(size)) * k, np.full(len(size), k)) >> np.uint64(48)).astype(np.int64) for k in LEVELS] if len(size) else []
+        for lang in set(langs):
+            if lang not in self.tables:
+                continue
+            at = np.flatnonzero(names == lang)
+            (mid, end), (m0, e0) = self.tables[lang], self.total[lang]
+            m0, e0 = np.full(len(at), m0), np.full(len(at), e0)
+            for level, k in enumerate(LEVELS):
+                cell = cells[level][at]
+                m, e = mid[level, cell], end[level, cell]
+                prior = (m + e + 0.5) / (m0 + e0 + 1)
+                step = np.log((e + w * prior) / (e0 + w)) - np.log((m + w * prior) / (m0 + w))
+                out[at] += np.where(size[at] >= k, step, 0.0)
+                m0, e0 = m, e
+        return out
 
 
 def page_verdict(text: str, raw: bytes) -> str:
@@ -277,9 +282,9 @@ def _describe(model, languages):
                 out["closed"].append(closed)
                 out["marked"].append(bool(marked))
                 # an end that a false charset left unreadable says nothing
-                out["odds"].append(None if "\ufffd" in body[-LEVELS[-1] :] else ends.log_odds(lang, body))
-                out["odds_end"].append(ends.log_odds(lang, text[: inner[len(inner) // 2]]) if inner else None)
-                out["odds_mid"].append(ends.log_odds(lang, text[:middle]) if middle > 20 and text[middle - 1 : middle + 1].isalpha() else None)
+                out["odds"].append(None if "\ufffd" in body[-LEVELS[-1] :] else body[-LEVELS[-1] :])
+                out["odds_end"].append(text[: inner[len(inner) // 2]][-LEVELS[-1] :] if inner else None)
+                out["odds_mid"].append(text[:middle][-LEVELS[-1] :] if middle > 20 and text[middle - 1 : middle + 1].isalpha() else None)
                 out["raw_says"].append(page_verdict(text, raw) if raw and not closed else "")
                 out["opener"].append(_opener(last))
                 out["n_words"].append(len(text.split()))
@@ -290,6 +295,10 @@ def _describe(model, languages):
                 out["fold"].append(_fold(end))
                 out["before"].append(_digest(_DIGIT.sub("#", next((x for x in reversed(others) if x), ""))))
                 out["lines"].append([{"opener": _opener(x), "fold": _fold(x), "closed": bool(_CLOSED.search(x))} for x in others if x])
+            for c in ("odds", "odds_end", "odds_mid"):  # so far contexts
+                known = [x is not None for x in out[c]]
+                odds = ends.log_odds(out["lang"], [x or "" for x in out[c]])
+                out[c] = [float(o) if k else None for o, k in zip(odds, known, strict=True)]
             kinds = (pa.string(), pa.bool_(), pa.bool_(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), _LINES)
             cols = [batch.column(0), batch.column(1), *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)), batch.column(4), batch.column(5)]
             yield pa.RecordBatch.from_arrays(cols, names=["__tm_id", "source", *out, "n_chars", "n_bytes"])
