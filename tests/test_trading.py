@@ -353,8 +353,8 @@ def test_window_defaults():
 
 
 def test_stream_and_batch_agree_on_nan_and_null(spark, tmp_path):
-    from tidemark.operators.live_bars import live_bars
-    from tidemark.streaming.bars import stream_bars
+    from tidemark.operators.live_bars import live_bars, live_counters
+    from tidemark.streaming.bars import COUNTERS, stream_bars, stream_counters
 
     r = np.random.default_rng(3)
     rows = []
@@ -370,6 +370,12 @@ def test_stream_and_batch_agree_on_nan_and_null(spark, tmp_path):
     cols = ["ticker", "bucket_us", "open", "high", "low", "close", "volume", "n_trades", "synthetic"]
     got = sorted(map(str, map(tuple, spark.table("bars_nan").select(cols).collect())))
     want = live_bars(df, ["ticker"], "timestamp_us", "seq", "price", "size", max_gap=3).select(cols).collect()
+    counting = stream_counters(stream, max_gap=3).writeStream.format("memory").queryName("bars_counted").outputMode("update").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
+    counting.awaitTermination(120)
+    names = ["ticker", *COUNTERS]
+    last = spark.table("bars_counted").groupBy("ticker").agg(*(F.max(c).alias(c) for c in COUNTERS))
+    counted = live_counters(df, ["ticker"], "timestamp_us", "seq", "price", "size", max_gap=3).select(names)
+    assert sorted(map(tuple, last.select(names).collect())) == sorted(map(tuple, counted.collect())) and counted.agg(F.min("large_gaps")).first()[0] > 0
     assert got == sorted(map(str, map(tuple, want))) and any("True" in x for x in got)
 
 

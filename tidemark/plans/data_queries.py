@@ -79,8 +79,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Per ticker over all recordings, in order of arrival: rows, first and last time, steps back in time, longest gap, price changes."""
-    return per_key_profile(table(spark, d, "l2_updates"), ["ticker_id"], ["seq"], "timestamp", "price")
+    """Per feed and ticker, in order of arrival: rows, first and last time, steps back in time, longest gap, changes of price; trades, book updates and reports alike."""
+    feeds = (("trade", "trades", "timestamp_us", "seq"), ("l2", "l2_updates", "timestamp", "seq"), ("execution", "exec_reports", "received_us", "report_id"))
+    rows = None
+    for feed, name, time, order in feeds:
+        part = table(spark, d, name).select(F.lit(feed).alias("feed"), F.col("ticker_id"), F.col(time).alias("t"), F.col(order).alias("n"), F.col("price"))
+        rows = part if rows is None else rows.unionByName(part)
+    return per_key_profile(rows, ["feed", "ticker_id"], ["n"], "t", "price")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_book, p4_found, p4_grid, p5_found, p5_profile)}
@@ -150,13 +155,17 @@ ORACLES = {
         SELECT feed, recording_id, ticker_id FROM s WHERE n >= 0.05 * total AND ticker_id IS NOT NULL
     """,
     "p5_profile": """
-        WITH s AS (
-            SELECT ticker_id, seq, timestamp AS t, price, lag(timestamp) OVER w AS pt, lag(price) OVER w AS pp, row_number() OVER w AS rn
-            FROM l2_updates WINDOW w AS (PARTITION BY ticker_id ORDER BY seq)
+        WITH r AS (
+            SELECT 'trade' AS feed, ticker_id, timestamp_us AS t, seq AS n, price FROM trades
+            UNION ALL SELECT 'l2', ticker_id, timestamp, seq, price FROM l2_updates
+            UNION ALL SELECT 'execution', ticker_id, received_us, report_id, price FROM exec_reports
+        ), s AS (
+            SELECT feed, ticker_id, n, t, price, lag(t) OVER w AS pt, lag(price) OVER w AS pp, row_number() OVER w AS rn
+            FROM r WINDOW w AS (PARTITION BY feed, ticker_id ORDER BY n)
         )
-        SELECT ticker_id, count(*) AS n_rows, arg_min(t, seq) FILTER (WHERE t IS NOT NULL) AS first_time,
-            arg_max(t, seq) FILTER (WHERE t IS NOT NULL) AS last_time, count(*) FILTER (WHERE t < pt) AS n_backwards,
+        SELECT feed, ticker_id, count(*) AS n_rows, arg_min(t, n) FILTER (WHERE t IS NOT NULL) AS first_time,
+            arg_max(t, n) FILTER (WHERE t IS NOT NULL) AS last_time, count(*) FILTER (WHERE t < pt) AS n_backwards,
             max(t - pt) AS max_gap, count(*) FILTER (WHERE rn > 1 AND price IS DISTINCT FROM pp) AS n_changes
-        FROM s GROUP BY ticker_id
+        FROM s GROUP BY feed, ticker_id
     """,
 }

@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 BAR_SCHEMA = "ticker string, bucket_us long, open double, high double, low double, close double, volume double, n_trades long, synthetic boolean"
-STATE_SCHEMA = "bucket long, open double, high double, low double, close double, volume double, n long, booted boolean, received long, late long, invalid long"
+STATE_SCHEMA = "bucket long, open double, high double, low double, close double, volume double, n long, booted boolean, received long, late long, invalid long, emitted long, synthetic long, boot long, large_gaps long"
+COUNTERS = ("received", "late", "invalid", "emitted", "synthetic", "boot", "large_gaps")
 
 
-def _aggregate(interval_s: int, fill_gaps: bool, max_gap: int, discard_boot: bool):
+def _aggregate(interval_s: int, fill_gaps: bool, max_gap: int, discard_boot: bool, counters: bool = False):
     step = interval_s * 1_000_000
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         trades = pd.concat(list(frames)).sort_values("seq", kind="stable")
-        bucket, o, h, low, c, v, n, booted, received, late, invalid = state.get if state.exists else (None, *[0.0] * 5, 0, False, 0, 0, 0)
+        bucket, o, h, low, c, v, n, booted, received, late, invalid, *made_of = state.get if state.exists else (None, *[0.0] * 5, 0, False, *[0] * 7)
         good = trades.ok.to_numpy(dtype=bool)
         received, invalid = received + int(good.sum()), invalid + int((~good).sum())
         t, price, size = (trades[x].to_numpy()[good] for x in ("timestamp_us", "price", "size"))
@@ -30,7 +31,9 @@ def _aggregate(interval_s: int, fill_gaps: bool, max_gap: int, discard_boot: boo
         late += int((~kept).sum())
         at, price, size = at[kept], price[kept].astype(float), size[kept].astype(float)
         if not len(at):
-            state.update((bucket, o, h, low, c, v, n, booted, received, late, invalid))
+            state.update((bucket, o, h, low, c, v, n, booted, received, late, invalid, *made_of))
+            if counters:
+                yield pd.DataFrame([(key[0], received, late, invalid, *made_of)], columns=["ticker", *COUNTERS])
             return
         # what is kept is in order of buckets: one bar for each, the open one first
         begin = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
@@ -58,8 +61,12 @@ def _aggregate(interval_s: int, fill_gaps: bool, max_gap: int, discard_boot: boo
             gaps = gaps.assign(bucket_us=gaps.bucket_us + nth * step, open=gaps.close, high=gaps.close, low=gaps.close, volume=0.0, n_trades=0, synthetic=True)
             made = pd.concat([own, gaps]).sort_values("bucket_us", kind="stable")
             booted = True
-        state.update((int(open_bar.bucket_us), *(float(open_bar[k]) for k in ("open", "high", "low", "close", "volume")), int(open_bar.n_trades), booted, received, late, invalid))
-        if len(closed) and len(made):
+            new = (len(made), int(filled.sum()), len(closed) - len(own), int((missing > max_gap).sum()) if fill_gaps else 0)
+            made_of = [a + b for a, b in zip(made_of, new, strict=True)]
+        state.update((int(open_bar.bucket_us), *(float(open_bar[k]) for k in ("open", "high", "low", "close", "volume")), int(open_bar.n_trades), booted, received, late, invalid, *made_of))
+        if counters:
+            yield pd.DataFrame([(key[0], received, late, invalid, *made_of)], columns=["ticker", *COUNTERS])
+        elif len(closed) and len(made):
             made.insert(0, "ticker", key[0])
             yield made
 
@@ -75,16 +82,26 @@ def stream_bars(trades: DataFrame, interval_s: int = 60, fill_gaps: bool = True,
     must arrive in its order. As in batch, a null price or size is invalid and a NaN one is
     not, but has no part in high and low.
     """
-    ok = F.coalesce((F.col("price") > 0) & (F.col("size") > 0) & F.col("timestamp_us").isNotNull() & F.col("seq").isNotNull(), F.lit(False))
-    slim = trades.select("ticker", "seq", F.coalesce("timestamp_us", F.lit(0)).alias("timestamp_us"), "price", "size", ok.alias("ok"))
     fn = _aggregate(interval_s, fill_gaps, max_gap, discard_boot)
-    bars = slim.groupBy("ticker").applyInPandasWithState(fn, BAR_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    bars = _checked(trades).groupBy("ticker").applyInPandasWithState(fn, BAR_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
     # pandas has one sign for NaN and null: an open, close or volume of a bar is never missing
     nan = F.lit(float("nan"))
     whole = {c: F.coalesce(c, nan) for c in ("open", "close", "volume")}
     return bars.withColumns(whole | {c: F.when(F.col("synthetic"), F.coalesce(c, nan)).otherwise(F.col(c)) for c in ("high", "low")})
 
 
+def _checked(trades: DataFrame) -> DataFrame:
+    ok = F.coalesce((F.col("price") > 0) & (F.col("size") > 0) & F.col("timestamp_us").isNotNull() & F.col("seq").isNotNull(), F.lit(False))
+    return trades.select("ticker", "seq", F.coalesce("timestamp_us", F.lit(0)).alias("timestamp_us"), "price", "size", ok.alias("ok"))
+
+
+def stream_counters(trades: DataFrame, interval_s: int = 60, fill_gaps: bool = True, max_gap: int = 120, discard_boot: bool = True) -> DataFrame:
+    """What ``stream_bars`` counts, a row for each ticker of a micro-batch with its counters so far; the streaming twin of ``live_counters``. Output mode 'update'."""
+    fn = _aggregate(interval_s, fill_gaps, max_gap, discard_boot, counters=True)
+    schema = "ticker string, " + ", ".join(f"{c} long" for c in COUNTERS)
+    return _checked(trades).groupBy("ticker").applyInPandasWithState(fn, schema, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
+
+
 def _cross(fast: int, slow: int):
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         bars = pd.concat(list(frames)).sort_values("bucket_us", kind="stable")
