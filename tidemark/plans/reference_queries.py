@@ -940,13 +940,13 @@ def stored_fills(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT symbol, CAST(row_number() OVER (ORDER BY symbol) AS INTEGER) AS ticker_id, n FROM (SELECT symbol, count(*) AS n FROM bars GROUP BY symbol)
+    WITH i AS (SELECT symbol, CAST(row_number() OVER (ORDER BY symbol) AS INTEGER) AS ticker_id FROM instruments)
+    SELECT b.symbol, i.ticker_id, count(*) AS n FROM bars b JOIN i ON b.symbol = i.symbol GROUP BY ALL
 """)
 def ordinal_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Ids from 1 by the order of a configuration, here the sorted symbols, joined to the bars."""
-    b = table(spark, d, "bars").select("symbol")
-    ids = readers.ticker_ids([r[0] for r in b.select("symbol").distinct().orderBy("symbol").collect()], spark)
-    return b.join(ids, "symbol").groupBy("symbol", "ticker_id").agg(F.count(F.lit(1)).alias("n"))
+    """Ids from 1 by the order of a configuration, here the sorted symbols of the instruments, joined to the bars."""
+    configured = sorted(r[0] for r in table(spark, d, "instruments").select("symbol").collect())
+    return table(spark, d, "bars").select("symbol").join(readers.ticker_ids(configured, spark), "symbol").groupBy("symbol", "ticker_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
