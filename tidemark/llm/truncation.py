@@ -196,6 +196,20 @@ class EndModel:
         return out
 
 
+def _mark(text: str) -> int | None:
+    """Where the mark of an omission at the end of a text begins, spaces before it included."""
+    text = text.rstrip()
+    found = _MARK.search(text, max(0, len(text) - 64))
+    return len(text[: found.start()].rstrip()) if found else None
+
+
+def _closed(text: str) -> bool:
+    """Whether a text ends in a full stop, quotation marks and brackets behind it included."""
+    text = text.rstrip()
+    end = text.rstrip("\"”»’'」』)]").endswith((".", "!", "?", "。", "！", "？", "&quot;", "&#x27;", " "))
+    return end and bool(_CLOSED.search(text, max(0, len(text) - 256)))
+
+
 def page_verdict(text: str, raw: bytes) -> str:
     """'cut', 'whole' or '' by the page itself: what follows the text's last characters there. For measuring the model; no verdict rests on it."""
     tail = "".join(plain(_MARK.sub("", text).rsplit("\n", 1)[-1]))[-28:]
@@ -272,15 +286,16 @@ def _describe(model, languages):
                 lang = languages.value.name(_text_codes(text))
                 if not text.isascii() and len(_UPPER.findall(text)) > 0.45 * (n_letters := len(_CYRILLIC.findall(text))) and n_letters > 0.2 * len(text):
                     text = redecoded(text) or text
-                marked = _MARK.search(text)
-                body = (text[: marked.start()] if marked else text).rstrip("�")
-                closed = not marked and bool(_CLOSED.search(text))
+                mark = _mark(text)
+                body = (text if mark is None else text[:mark]).rstrip("�")
+                marked = mark is not None
+                closed = not marked and _closed(text)
                 last = body.rstrip().rsplit("\n", 1)[-1]
                 inner = [m.start() for m in re.finditer(r"[.!?。](?=[\s]|[^\x00-\x7f])", text[:-1])]
                 middle = len(text) // 2
                 out["lang"].append(lang)
                 out["closed"].append(closed)
-                out["marked"].append(bool(marked))
+                out["marked"].append(marked)
                 # an end that a false charset left unreadable says nothing
                 out["odds"].append(None if "\ufffd" in body[-LEVELS[-1] :] else body[-LEVELS[-1] :])
                 out["odds_end"].append(text[: inner[len(inner) // 2]][-LEVELS[-1] :] if inner else None)
@@ -294,7 +309,7 @@ def _describe(model, languages):
                 out["text_hash"].append(_digest(text))
                 out["fold"].append(_fold(end))
                 out["before"].append(_digest(_DIGIT.sub("#", next((x for x in reversed(others) if x), ""))))
-                out["lines"].append([{"opener": _opener(x), "fold": _fold(x), "closed": bool(_CLOSED.search(x))} for x in others if x])
+                out["lines"].append([{"opener": _opener(x), "fold": _fold(x), "closed": _closed(x)} for x in others if x])
             for c in ("odds", "odds_end", "odds_mid"):  # so far contexts
                 known = [x is not None for x in out[c]]
                 odds = ends.log_odds(out["lang"], [x or "" for x in out[c]])
