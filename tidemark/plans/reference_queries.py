@@ -972,3 +972,41 @@ def unsupported_bars(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "ohlc").where("timestamp IS NOT NULL").select("bar_id", *_KEY, F.col("timestamp").alias("t"))
     o = table(spark, d, "exec_reports").select(*_KEY, F.col("received_us").alias("t"))
     return pit.unsupported_events(e, o, _KEY, "t", 600_000_000, 2).select("bar_id", "n_observations")
+
+
+_CONTRACTS_SQL = """
+    c AS (SELECT ticker_id, symbol, sec_type, exchange, currency, CASE WHEN ticker_id % 2 = 0 THEN '202512' END AS expiry FROM instruments),
+    r AS (
+        SELECT ticker_id * 3 AS id, symbol, sec_type, exchange, currency, CASE WHEN ticker_id % 3 = 0 THEN '202603' WHEN ticker_id % 3 = 1 THEN '202512' END AS expiry FROM instruments
+        UNION ALL SELECT ticker_id * 3 + 1, symbol, sec_type, '', NULL, CASE WHEN ticker_id % 5 > 0 THEN '' ELSE '202603' END FROM instruments
+        UNION ALL SELECT ticker_id * 3 + 2, symbol, 'OTHER', exchange, currency, NULL FROM instruments
+    )
+"""
+
+
+@query(f"""
+    WITH {_CONTRACTS_SQL}, m AS (
+        SELECT c.ticker_id, r.id FROM c JOIN r ON c.symbol = r.symbol
+            AND (coalesce(c.sec_type, '') = '' OR coalesce(r.sec_type, '') = '' OR c.sec_type = r.sec_type) AND (coalesce(c.exchange, '') = '' OR coalesce(r.exchange, '') = '' OR c.exchange = r.exchange)
+            AND (coalesce(c.currency, '') = '' OR coalesce(r.currency, '') = '' OR c.currency = r.currency) AND (coalesce(c.expiry, '') = '' OR coalesce(r.expiry, '') = '' OR c.expiry = r.expiry)
+    )
+    SELECT ticker_id, min(id) AS r_id FROM m GROUP BY ticker_id
+""")
+def contracts_by_symbol(spark: SparkSession, d: str) -> DataFrame:
+    """For each contract the first registered one of its symbol whose type, exchange, currency and expiry do not contradict it; three are registered for each symbol."""
+    i = table(spark, d, "instruments")
+    at = lambda n: F.pmod("ticker_id", F.lit(n))
+    c = i.select("ticker_id", "symbol", "sec_type", "exchange", "currency", F.when(at(2) == 0, "202512").alias("expiry"))
+    plain = ["symbol", "sec_type", "exchange", "currency"]
+    r = i.select((F.col("ticker_id") * 3).alias("id"), *plain, F.when(at(3) == 0, "202603").when(at(3) == 1, "202512").alias("expiry"))
+    r = r.unionByName(i.select((F.col("ticker_id") * 3 + 1).alias("id"), "symbol", "sec_type", F.lit("").alias("exchange"), F.lit(None).cast("string").alias("currency"), F.when(at(5) > 0, "").otherwise("202603").alias("expiry")))
+    r = r.unionByName(i.select((F.col("ticker_id") * 3 + 2).alias("id"), "symbol", F.lit("OTHER").alias("sec_type"), "exchange", "currency", F.lit(None).cast("string").alias("expiry")))
+    return matching_contract(c, r, "symbol", ["sec_type", "exchange", "currency", "expiry"], F.col("id")).select("ticker_id", "r_id")
+
+
+@query()
+def simulated_basis(spark: SparkSession, d: str) -> DataFrame:
+    """Bars of three series with a simulated basis (closes over opens), by symbol: their number and mean close."""
+    b = bars(spark, d).withColumns({"spot": F.col("open"), "futures": F.col("close")})
+    out = permute.simulate_ar1(b, S, 3)
+    return out.groupBy("symbol", permute.PERM).agg(F.count(F.lit(1)).alias("n_bars"), F.round(F.avg("close"), 4).alias("mean_close"))
