@@ -215,11 +215,16 @@ def with_running(df: DataFrame, keys: Sequence[str], order: Sequence[str], colum
     'last' is the last value that is not null, 'sum' and 'max' skip nulls; null before the
     first value. ``inclusive`` takes the row itself in, else only those before it. Null
     keys are keys of their own. Computed inside pieces of equal size and carried across
-    them, so that a key may exceed a task: only pieces, never rows, meet in one.
+    them, so that a key may exceed a task: only pieces, never rows, meet in one. Sums and
+    maxima of numbers are made in one scan of the sorted partitions, which are the pieces
+    then.
     """
     ks = list(keys)
     named = {f"__tm_v{i}": column for i, (_, column) in enumerate(columns.values())}
     kinds = [kind for kind, _ in columns.values()]
+    types = [f.dataType for f in df.select(*named.values()).schema.fields]
+    if all(k in ("sum", "max") for k in kinds) and all(isinstance(t, (T.LongType, T.IntegerType, T.DoubleType)) for t in types):
+        return _with_totals(df, ks, list(order), list(columns), kinds, named, types, inclusive)
     rows = chunk_rows(df.withColumns(named), ks, list(order), size)
     fold = {"last": lambda c: F.last(c, ignorenulls=True), "sum": F.sum, "max": F.max}
     upto = Window.partitionBy(*ks, CHUNK).orderBy(IDX).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
@@ -241,3 +246,76 @@ def with_running(df: DataFrame, keys: Sequence[str], order: Sequence[str], colum
         value = {"last": F.coalesce(own, past), "sum": F.when(own.isNull() & past.isNull(), None).otherwise(F.coalesce(own, F.lit(0)) + F.coalesce(past, F.lit(0))), "max": F.greatest(own, past)}[kind]
         out.append(value.alias(name))
     return joined.select(*df.columns, *out)
+
+
+def _with_totals(df: DataFrame, ks: list[str], order: list, names: list[str], kinds: list[str], named: dict[str, Column], types: list[T.DataType], inclusive: bool) -> DataFrame:
+    wide = {v: c.cast("double" if isinstance(t, T.DoubleType) else "long") for (v, c), t in zip(named.items(), types, strict=True)}
+    typed = df.withColumns(wide)
+    by = [*(F.col(k) for k in ks), *(F.col(o) if isinstance(o, str) else o for o in order)]
+    ranged = typed.repartitionByRange(part_count(typed), *by).sortWithinPartitions(*by)
+    made = [T.StructField(f"__tm_i{i}", typed.schema[v].dataType) for i, v in enumerate(named)]
+    schema = T.StructType([*typed.schema.fields, *made, T.StructField(LEAD, T.BooleanType()), T.StructField(KIND, T.IntegerType())])
+    table, edges = written_apart(ranged.mapInArrow(_accumulate(ks, list(named), kinds, inclusive), schema).withColumn(PID, F.spark_partition_id()), "running", KIND)
+    before = Window.partitionBy(*ks).orderBy(PID, F.desc(LEAD)).rowsBetween(Window.unboundedPreceding, -1)
+    fold = {"sum": F.sum, "max": F.max}
+    carries = edges.withColumns({f"__tm_p{i}": fold[kind](f"__tm_i{i}").over(before) for i, kind in enumerate(kinds)}).where(LEAD).select(PID, *(f"__tm_p{i}" for i in range(len(kinds))))
+    joined = table.join(F.broadcast(carries), PID, "left")
+    out = []
+    for i, (name, kind, t) in enumerate(zip(names, kinds, types, strict=True)):
+        own, past = F.col(f"__tm_i{i}"), F.when(F.col(LEAD), F.col(f"__tm_p{i}"))
+        value = F.greatest(own, past) if kind == "max" else F.coalesce(own + past, own, past)
+        out.append((value.cast(t) if kind == "max" else value).alias(name))
+    return joined.select(*df.columns, *out)
+
+
+def _accumulate(keys: Sequence[str], values: Sequence[str], kinds: Sequence[str], inclusive: bool) -> Callable:
+    """Running sums and maxima of the rows of a sorted partition within their keys; at its end, a row each for its first and its last key with their totals (kind 1)."""
+    folds = [np.add if kind == "sum" else np.maximum for kind in kinds]
+
+    def marked(batch: pa.RecordBatch, cols: list[tuple[np.ndarray, np.ndarray]], lead: np.ndarray, kind: int) -> pa.RecordBatch:
+        made = [pa.array(v, mask=~seen) for v, seen in cols]
+        return pa.RecordBatch.from_arrays([*batch.columns, *made, pa.array(lead), pa.array(np.full(batch.num_rows, kind, dtype=np.int32))], names=[*batch.schema.names, *(f"__tm_i{i}" for i in range(len(made))), LEAD, KIND])
+
+    def run(batches):
+        last, lead, head = None, True, None
+        state: list = [None] * len(values)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            cols = [batch.column(batch.schema.get_field_index(k)) for k in keys]
+            starts = new_run(cols) if cols else np.arange(n) == 0
+            if last is not None and tuple(c[0].as_py() for c in cols) == last:
+                starts[0] = False
+            begin = np.flatnonzero(starts)
+            begin = begin if len(begin) and begin[0] == 0 else np.append(0, begin)
+            given = [batch.column(batch.schema.get_field_index(v)) for v in values]
+            known = [np.asarray(c.is_valid()) for c in given]
+            given = [np.asarray(c.fill_null(0)) for c in given]
+            out = [(np.zeros(n, dtype=g.dtype), np.zeros(n, dtype=bool)) for g in given]
+            leads = np.zeros(n, dtype=bool)
+            for i, j in zip(begin, np.append(begin[1:], n), strict=True):
+                if starts[i]:
+                    lead, state = last is None and i == 0, [None] * len(values)
+                leads[i:j] = lead
+                for k, fold in enumerate(folds):
+                    some = known[k][i:j]
+                    mine = given[k][i:j][some]
+                    before = mine[:0] if state[k] is None else np.array([state[k]], dtype=given[k].dtype)
+                    path = fold.accumulate(np.append(before, mine)) if len(before) + len(mine) else mine
+                    at = np.cumsum(some) - (0 if inclusive else some) - 1 + len(before)  # the last value so far
+                    seen = at >= 0
+                    out[k][1][i:j] = seen
+                    if len(path):
+                        out[k][0][i:j] = path[np.maximum(at, 0)]
+                        state[k] = path[-1]
+                if lead:
+                    head = (batch.slice(i, 1), list(state))
+            last, tail = tuple(c[-1].as_py() for c in cols), batch.slice(n - 1, 1)
+            kind_of = [g.dtype for g in given]
+            yield marked(batch, out, leads, 0)
+        for row, totals, first in ([] if head is None else [(*head, True)] + ([] if lead else [(tail, state, False)])):
+            cols = [(np.array([0 if t is None else t], dtype=d), np.array([t is not None])) for t, d in zip(totals, kind_of, strict=True)]
+            yield marked(row, cols, np.array([first]), 1)
+
+    return run
